@@ -1,8 +1,9 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from lectern.llm import bpe, exact_dedup
+from lectern.llm import bpe, exact_dedup, simhash
 
 QUERIES = {
+    "op1_simhash_golay": simhash.query,
     "op4_bpe_codec": bpe.query,
     "op9_exact_dedup": exact_dedup.query,
 }
