@@ -1,10 +1,13 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from lectern.llm import bpe, exact_dedup, simhash
+from lectern.llm import bpe, exact_dedup, langid, quality, secrets, simhash
 
 QUERIES = {
     "op1_simhash_golay": simhash.query,
     "op4_bpe_codec": bpe.query,
+    "op5_secret_scan": secrets.query,
+    "op7_ppm_language": langid.query,
+    "op8_quality_trees": quality.query,
     "op9_exact_dedup": exact_dedup.query,
 }
 
