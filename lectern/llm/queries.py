@@ -1,11 +1,13 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from lectern.llm import bpe, exact_dedup, langid, quality, secrets, simhash
+from lectern.llm import bpe, exact_dedup, langid, quality, secrets, simhash, warc, wavelet
 
 QUERIES = {
     "op1_simhash_golay": simhash.query,
+    "op2_warc_derivatives": warc.query,
     "op4_bpe_codec": bpe.query,
     "op5_secret_scan": secrets.query,
+    "op6_wavelet_tokens": wavelet.query,
     "op7_ppm_language": langid.query,
     "op8_quality_trees": quality.query,
     "op9_exact_dedup": exact_dedup.query,
