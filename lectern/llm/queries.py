@@ -1,11 +1,12 @@
 """Queries of the training-data operators, with SQL where SQL can express them."""
 
-from lectern.llm import bpe, decontaminate, exact_dedup, langid, quality, secrets, simhash, warc, wavelet
+from lectern.llm import bpe, decontaminate, exact_dedup, langid, quality, secrets, simhash, substring, warc, wavelet
 
 QUERIES = {
     "op1_simhash_golay": simhash.query,
     "op10_template_decontamination": decontaminate.query,
     "op2_warc_derivatives": warc.query,
+    "op3_substring_automata": substring.query,
     "op4_bpe_codec": bpe.query,
     "op5_secret_scan": secrets.query,
     "op6_wavelet_tokens": wavelet.query,
