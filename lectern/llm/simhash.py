@@ -151,8 +151,10 @@ def _links(nodes: DataFrame, sketches: int, sets: DataFrame | None, similarity:
 
     labelled = members.select("key", "me").join(labels.select(F.col("node").alias("n"), "root"), F.col("me.node") == F.col("n"), "left").select("key", "me", F.coalesce("root", "me.node").alias("label"))
     labelled = materialize(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    open_rows = labelled.join(mixed, "key", "left_semi")
+    # Neighbours share many keys, so many buckets have the same members; one of each such set is enough.
+    held = F.struct(F.count("*").alias("n"), F.min("me.node").alias("lo"), F.max("me.node").alias("hi"), F.bit_xor(F.xxhash64("me.node")).alias("all"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), held.alias("held")).where("x <> y").groupBy("held").agg(F.min("key").alias("key")).select("key")
+    open_rows = materialize(labelled.join(mixed, "key", "left_semi"), "open")
     a, b = open_rows.toDF("key", "m", "la"), open_rows.toDF("key", "w", "lb")
     pairs = a.join(b, "key").where((F.col("la") < F.col("lb")) & (_bits("m", "w", names) <= most)).select(F.col("m.node").alias("a"), F.col("w.node").alias("b")).distinct()
     more = materialize(pairs if similarity is None else _alike(pairs, sets, similarity), "links")
