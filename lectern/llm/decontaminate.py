@@ -49,10 +49,6 @@ def _text(col: str) -> Column:
     return F.trim(F.coalesce(F.col(col), F.lit("")), F.lit(SPACE))
 
 
-def _window_hashes(words: str, size: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
-
-
 def _slots(template_words: Column) -> Column:
     return F.transform(template_words, lambda w: F.contains(w, F.lit("<num>")) | F.contains(w, F.lit("<unit>")) | F.contains(w, F.lit("<name>")))
 
@@ -79,7 +75,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     text = docs.select(F.col(id_col).alias("__id"), _text(text_col).alias("__text")).withColumn("__template", _words(template(F.col("__text"))))
     found = []
     for size in sizes:
-        rows = text.where(F.size("__template") >= size).select("__id", "__text", "__template", F.posexplode(_window_hashes("__template", size)).alias("at", "h"))
+        # Positions are generated, and windows hashed after that, so that all of it is compiled: a lambda over the array isn't.
+        starts = F.when(F.size("__template") >= size, F.sequence(F.lit(0), F.size("__template") - size))
+        rows = text.select("__id", "__text", "__template", F.explode(starts).alias("at"))
+        rows = rows.withColumn("h", F.xxhash64(F.slice("__template", F.col("at") + 1, size)))
         words = F.slice(_words(F.col("__text")), F.col("at") + 1, size).alias("words")
         seen = F.slice("__template", F.col("at") + 1, size).alias("seen")
         own = bench.where(F.col("size") == size)
@@ -96,7 +95,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         hits = hits.unionByName(rows.select(hits.columns) if small else rows)
     strip = lambda w: F.regexp_replace(w, EDGES, "")
     pairs = F.filter(F.zip_with(F.arrays_zip("item_words", "words"), _slots(F.col("item_template")), lambda p, s: F.when(s, F.struct(strip(p["item_words"]).alias("b"), strip(p["words"]).alias("d")))), lambda p: p.isNotNull())
-    hits = hits.where(F.col("seen") == F.col("item_template")).select("__id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_windows", pairs.alias("pairs"))
+    # Not a bare equality, which would make the arrays a join key of every window.
+    hits = hits.where(F.coalesce(F.col("seen") == F.col("item_template"), F.lit(False))).select("__id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_windows", pairs.alias("pairs"))
     lined = hits.groupBy("__id", "item_id", "shift").agg(F.countDistinct("item_at").alias("n"), F.max("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     keys = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))
     good = lined.where((F.size("pairs") == keys) & (F.col("n") >= F.least(F.lit(RUN - WINDOW + 1), "item_windows")))
