@@ -13,6 +13,9 @@ A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits (with leading ze
   (a key is the equal segment's bits, and an index of the other).
 
 So they share a key; keys shared by chance are told apart by comparing the fingerprints.
+
+``loose_keys`` are for pairs that differ in more bits, where no key is certain: one of four blocks of 16 bits is equal, and
+one of the two 23-bit segments of the rest has at most 2 errors (28 bits a key, some 40 keys).
 """
 
 from __future__ import annotations
@@ -86,3 +89,20 @@ def keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 rows.append(row)
                 found.append((table << 57) | (parts[x][row].astype(np.int64) << 12) | near[row, col])
     return np.concatenate(rows), np.concatenate(found)
+
+
+def loose_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of keys that pairs of fingerprints some 10 bits apart often share."""
+    rows, found = [], []
+    low = lambda bits: np.uint64((1 << bits) - 1)
+    for block in range(4):
+        at = np.uint64(16 * block)
+        exact = ((prints >> at) & low(16)).astype(np.int64)
+        below = prints & ((np.uint64(1) << at) - np.uint64(1))
+        rest = ((prints >> at >> np.uint64(16)) << at) | below if block < 3 else below
+        for half in range(2):
+            near = ball(((rest >> np.uint64(23 * half)) & low(23)).astype(np.int32), 23).astype(np.int64)
+            row, col = np.nonzero(near >= 0)
+            rows.append(row)
+            found.append(((2 * block + half) << 57) | (exact[row] << 12) | near[row, col])
+    return np.concatenate(rows), np.concatenate(found)
