@@ -169,7 +169,15 @@ def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
 
 
 class Encoder:
-    """Ids of whole texts. Texts are cut at ASCII white space, where this kind of vocabulary always breaks; each distinct piece is encoded once."""
+    """Ids of whole texts, with the library's tokenizer on each distinct piece.
+
+    Texts are cut at ASCII white space, where this kind of vocabulary always breaks, and lower-cased before (it does so itself)
+    unless they may hold a special token. Words of ASCII letters are encoded many at a time, with a sign between that is a
+    word of its own; one mark after a word is a word of its own too. Pieces are kept in two generations of at most
+    ``CACHE_WORDS``, so frequent ones stay known.
+    """
+
+    SIGN, BLOCK = "\x01", 500
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -178,25 +186,70 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, list[int]] = {}
-
-    def encode_batch(self, texts: list[bytes]) -> Iterator[list[int]]:
-        pieces = [t.split() for t in texts]
-        new = {p for x in pieces for p in x if p not in self.known}
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-            new = {p for x in pieces for p in x}
-        order = list(new)
-        for at in range(0, len(order), 20_000):
-            part = order[at : at + 20_000]
-            found = self.tokenizer.encode_batch([p.decode() for p in part], add_special_tokens=False)
-            self.known.update((p, e.ids) for p, e in zip(part, found, strict=True))
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        sign = self._ids([self.SIGN])[0]
+        self.sign = int(sign[0]) if len(sign) == 1 else None
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        """Words of ASCII letters."""
+        blocks = [words[i : i + self.BLOCK] for i in range(0, len(words), self.BLOCK)]
+        texts = [f" {self.SIGN} ".join(w.decode() for w in x) for x in blocks]
+        for block, ids in zip(blocks, self._ids(texts), strict=True):
+            edges = np.nonzero(ids == self.sign)[0]
+            raw, starts, ends = ids.tobytes(), [0, *((edges + 1) * 4).tolist()], [*(edges * 4).tolist(), len(ids) * 4]
+            self.known.update((w, raw[i:j]) for w, i, j in zip(block, starts, ends, strict=True))
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        known, old = self.known, self.old
+        if len(known) + len(pieces) > CACHE_WORDS:
+            self.old, self.known = old, known = known, {}
+        words, marked, others = set(), [], []
+        for p in pieces:
+            if (ids := old.get(p)) is not None:
+                known[p] = ids
+            elif self.sign is not None and p.isalpha():
+                words.add(p)
+            elif self.sign is not None and p[-1] in b".,;:!?" and p[:-1].isalpha():
+                marked.append(p)
+                if (ids := known.get(p[:-1]) or old.get(p[:-1])) is not None:
+                    known[p[:-1]] = ids
+                else:
+                    words.add(p[:-1])
+            else:
+                others.append(p)
+        self._learn_words(list(words))
+        marks = {p[-1:] for p in marked} - known.keys()
+        others += marks
+        for p, ids in zip(others, self._ids([p.decode() for p in others]), strict=True):
+            known[p] = ids.tobytes()
+        for p in marked:
+            known[p] = known[p[:-1]] + known[p[-1:]]
+
+    def encode_batch(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        pieces = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        found = [list(map(self.known.get, x)) for x in pieces]
+        new = {p for x, ids in zip(pieces, found, strict=True) if None in ids for p, i in zip(x, ids, strict=True) if i is None}
+        if new:
+            self._learn(list(new))
         known = self.known
-        for x in pieces:
-            ids: list[int] = []
-            for p in x:
-                ids += known[p]
-            yield ids
+        for x, ids in zip(pieces, found, strict=True):
+            yield b"".join(ids if None not in ids else [known[p] if i is None else i for p, i in zip(x, ids, strict=True)])
+
+
+_encoder: tuple[str, Encoder] | None = None
+
+
+def worker_encoder(spec: str) -> Encoder:
+    """The encoder of a vocabulary; built once in each worker."""
+    global _encoder
+    if _encoder is None or _encoder[0] != spec:
+        _encoder = spec, Encoder(spec)
+    return _encoder[1]
 
 
 def _save(folder: str, name: str, data: bytes) -> str:
@@ -215,8 +268,9 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(spec.value)
+        encoder = worker_encoder(spec.value)
         part, files = TaskContext.get().partitionId(), 0
+        end = struct.pack("<I", end_id)
         ids: list[int | None] = []
         counts: list[int] = []
         held: list[np.ndarray] = []
@@ -236,11 +290,10 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc
                 rows = batch.slice(at, 500)
                 texts = [t or b"" for t in rows.column(1).cast(pa.binary()).to_pylist()]
                 for doc_id, found in zip(rows.column(0).to_pylist(), encoder.encode_batch(texts), strict=True):
-                    found.append(end_id)
                     ids.append(doc_id)
-                    counts.append(len(found))
-                    held.append(np.array(found, np.uint32))
-                    total += len(found)
+                    held.append(np.frombuffer(found + end, "<u4"))
+                    counts.append(len(held[-1]))
+                    total += counts[-1]
                     if total >= shard_tokens:
                         yield flush()
         if ids:
