@@ -6,7 +6,7 @@ default: ``half a year`` is a whole year, ``two and a half years`` is two, ``5 M
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import collapse
@@ -77,38 +77,44 @@ def _days(text: Column, category: Column) -> Column:
     return F.coalesce(F.when(later != 0, later), F.when(counted != 0, counted), _lookup(DEFAULT_DAYS, category))
 
 
-def _unit_category(unit: Column) -> Column:
-    return F.when(unit.isin("night", "hour"), "day").otherwise(unit)
-
-
-def classify(c: Column) -> Column:
-    """Struct of ``category`` and ``duration_days`` of an expression; null counts as empty, which is noise."""
-    t = collapse(F.coalesce(c, F.lit("")))
+def _rule(t: Column) -> Column:
+    """Struct of ``category`` and ``how`` its length is told: spelled out, by default, or not at all."""
     low = F.lower(t)
-    none, spelled = F.lit(None).cast("double"), lambda category: _days(t, category)
     later_unit, counted_unit = _group(low, LATER, 2), F.coalesce(_group(low, COUNTED, 2), _group(low, COUNTED, 3))
 
-    def result(category: Column | str, days: Column) -> Column:
-        return F.struct((F.lit(category) if isinstance(category, str) else category).alias("category"), days.alias("duration_days"))
+    def result(category: Column | str, how: str) -> Column:
+        return F.struct((F.lit(category) if isinstance(category, str) else category).alias("category"), F.lit(how).alias("how"))
 
-    noise, calendar, one_day = result("noise", none), result("calendar", none), result("day", F.lit(1.0))
+    noise, calendar, one_day = result("noise", ""), result("calendar", ""), result("day", "default")
     rules = [
         (t.rlike(AGE) | t.rlike(FRACTION) | (F.length(t) <= 1), noise),
         (t.rlike(YEAR), calendar),
         (t.rlike(LONG_NUMBER) | t.rlike(OCR), noise),
-        (t.rlike(HABITUAL), result("habitual", none)),
-        (t.rlike(LATER), result(later_unit, spelled(later_unit))),
+        (t.rlike(HABITUAL), result("habitual", "")),
+        (t.rlike(LATER), result(later_unit, "spelled")),
         (t.rlike(NEXT_DAY), one_day),
-        (t.rlike(SEASON), result("season", F.lit(90.0))),
+        (t.rlike(SEASON), result("season", "default")),
         (t.rlike(DATE_RANGE) | t.rlike(MONTH_YEAR), calendar),
-        (t.rlike(_span("day")) & ~F.contains(low, F.lit("year")), result("day", spelled(F.lit("day")))),
+        (t.rlike(_span("day")) & ~F.contains(low, F.lit("year")), result("day", "spelled")),
         (t.rlike(DAY_REFERENCE), one_day),
-        *[(t.rlike(_span(u)), result(u, spelled(F.lit(u)))) for u in ("week", "month", "year")],
+        *[(t.rlike(_span(u)), result(u, "spelled")) for u in ("week", "month", "year")],
         (t.rlike(BARE_MONTH), calendar),
-        (t.rlike(I + "^(?:weeks|months|years)$"), result(F.regexp_replace(low, "s$", ""), none)),
-        (t.rlike(COUNTED), result(_unit_category(counted_unit), spelled(_unit_category(counted_unit)))),
+        (t.rlike(I + "^(?:weeks|months|years)$"), result(F.regexp_replace(low, "s$", ""), "")),
+        (t.rlike(COUNTED), result(F.when(counted_unit.isin("night", "hour"), "day").otherwise(counted_unit), "spelled")),
     ]
     case = F.when(*rules[0])
     for condition, value in rules[1:]:
         case = case.when(condition, value)
     return case.otherwise(noise)
+
+
+def classify(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``text_clean, category, duration_days``; null text counts as empty, which is noise.
+
+    Each step is generated from an array of one, which keeps the optimizer from writing it out again wherever it is used.
+    """
+    clean = df.select("*", F.explode(F.array(collapse(F.coalesce(text, F.lit(""))))).alias("text_clean"))
+    ruled = clean.select("*", F.explode(F.array(_rule(F.col("text_clean")))).alias("__rule"))
+    category, how = F.col("__rule.category"), F.col("__rule.how")
+    days = F.when(how == "spelled", _days(F.col("text_clean"), category)).when(how == "default", _lookup(DEFAULT_DAYS, category))
+    return ruled.select("*", category.alias("category"), F.explode(F.array(days)).alias("duration_days")).drop("__rule")

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.temporal import CATEGORIES, MEANINGFUL, classify
-from lectern.functions.text import collapse
 
 HISTOGRAM_EDGES = [0, 1, 2, 3, 7, 14, 30, 60, 90, 180, 365, 730, 1825]
 
 
 def classified(dates: DataFrame) -> DataFrame:
     """Rows of ``text`` with ``text_clean, category, duration_days``."""
-    return dates.withColumns({"text_clean": collapse(F.col("text")), "c": classify(F.col("text"))}).select(*dates.columns, "text_clean", "c.category", "c.duration_days")
+    return classify(dates)
 
 
 def with_position(rows: DataFrame, totals: DataFrame) -> DataFrame:

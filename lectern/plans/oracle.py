@@ -106,9 +106,6 @@ EXPECTED = {
     "arrest_place": pick(s.PLACES, "doc_id"), "arrest_date": "'3 June 1942'", "prisoner_number": N, "triangle_color": pick(s.COLOURS, "doc_id"), "triangle_letter": "'P'",
     "content_summary": f"'1. Camp life of N' || {N} || '.'", "testimony_body": f"'I remember the winter well, and number ' || {N} || ' too.' || chr(10) || 'We walked for days through the snow.'", "interviewer_assessment": lit(s.INTERVIEW), "warnings": "CAST(NULL AS VARCHAR)",
 }
-# A two-digit day loses its first digit to the place before it: the date pattern is tried from the left.
-EXPECTED["testimony_place"] = f"CASE WHEN doc_id % 28 + 1 >= 10 THEN {pick(s.PLACES, 'doc_id')} || ', ' || CAST((doc_id % 28 + 1) // 10 AS VARCHAR) ELSE {pick(s.PLACES, 'doc_id')} END"
-EXPECTED["testimony_date"] = "CAST((doc_id % 28 + 1) % 10 AS VARCHAR) || ' December 1945'"
 
 
 def expected(names: list[str]) -> str:
@@ -128,19 +125,26 @@ def fill_rates() -> str:
         if n == "testimony_number":
             rows.append(f"SELECT '{n}' AS field, count(*) FILTER ({e} > 0) AS filled, CAST(NULL AS DOUBLE) AS mean_length FROM documents")
         elif n.startswith("is_"):
-            rows.append(f"SELECT '{n}', count(*) FILTER ({e}), NULL FROM documents")
+            rows.append(f"SELECT '{n}' AS field, count(*) FILTER ({e}) AS filled, CAST(NULL AS DOUBLE) AS mean_length FROM documents")
         else:
-            rows.append(f"SELECT '{n}', count(*) FILTER (length({e}) > 0), round(avg(length({e})) FILTER (length({e}) > 0), 6) FROM documents")
+            rows.append(f"SELECT '{n}' AS field, count(*) FILTER (length({e}) > 0) AS filled, round(avg(length({e})) FILTER (length({e}) > 0), 6) AS mean_length FROM documents")
     return " UNION ALL ".join(rows)
 
 
-HITS = lambda category: f"""WITH {SENT}, {TERMS}, terms AS (SELECT term, row_number() OVER (ORDER BY r, i) AS p FROM firsts WHERE category = '{category}'),
-  hits AS (SELECT doc_id, sentence_idx, term AS matched_word, sentence FROM sent, terms WHERE regexp_matches(sentence, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || replace(term, '.', '\\.') || CASE WHEN term LIKE '%.' THEN '[\\p{{L}}\\p{{N}}_]' ELSE '($|[^\\p{{L}}\\p{{N}}_])' END))"""
+def hits(terms: list[tuple[str, str]]) -> str:
+    """Sentences by each (term, pattern) of a category, as the sheet's rules leave them."""
+    one = [f"SELECT doc_id, sentence_idx, {lit(t)} AS matched_word, sentence FROM sent WHERE " + (word("sentence", p) if p == t.lower() else f"regexp_matches(sentence, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){p}')") for t, p in terms]
+    return f"WITH {SENT}, hits AS (" + " UNION ALL ".join(one) + ")"
+
+
+# "a." ends in a mark, so a word character must follow it.
+NOUNS = [("The", "the"), ("and", "and"), ("in", "in"), ("of", "of"), ("a.", "a\\.[\\p{L}\\p{N}_]")]
+PHRASES = [("of the", "of the"), ("It", "it"), ("that thon", "that thon"), ("ing", "ing")]
 
 EDGES = HISTOGRAM_EDGES
 SQL = {
-    "filter_category": HITS("Nouns") + " SELECT * FROM hits",
-    "category_hits_by_term": HITS("Phrases") + " SELECT matched_word, count(*) AS sentences, count(DISTINCT doc_id) AS documents FROM hits GROUP BY 1",
+    "filter_category": hits(NOUNS) + " SELECT * FROM hits",
+    "category_hits_by_term": hits(PHRASES) + " SELECT matched_word, count(*) AS sentences, count(DISTINCT doc_id) AS documents FROM hits GROUP BY 1",
     "corpus_summary": "SELECT count(*) AS documents, CAST(count(*) AS BIGINT) AS n_pages, CAST(coalesce(sum(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> ''))), 0) AS BIGINT) AS n_words, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS n_chars, count(*) FILTER (text = '') AS errors FROM documents",
     "doc_lengths": "SELECT doc_id, length(coalesce(text, '')) AS n_chars, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS n_words FROM documents",
     "sentences": f"WITH {SENT} SELECT doc_id, sentence_idx, sentence FROM sent",
