@@ -9,7 +9,7 @@ bytes of the negative binary logarithm, under statistics that are frozen after t
 Bytes are recoded to at most 64 symbols (the most frequent ones in training; all others share the last), so that the code
 lengths of every context and symbol, for all languages side by side, fit one array: a text's bytes index it, and its rows
 are summed. The highest order of at most 3 whose array is within ``TABLE_BYTES`` is used: 3 for up to 5 languages, 2 for
-up to some 300. The array travels as a broadcast of that bounded size.
+up to some 300. The counts travel as a broadcast; each worker makes its array of that bounded size.
 
 Training counts come from some ``SAMPLE_DOCS`` documents of each language, chosen by a hash of the id (a documented
 bound on what a classifier is fitted on); those are counted whole, on the executors. Every document is scored whole.
@@ -21,6 +21,7 @@ not learned from, and count as not held out; repeated rows are scored each; extr
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -78,25 +79,34 @@ def count_grams(df: DataFrame, lang_col: str, text_col: str) -> list[tuple[str,
 
 
 class Ppm:
-    """Frozen code lengths: ``bits[context symbols..., symbol]`` is a row of one number per language."""
+    """Frozen code lengths: ``bits[context symbols..., symbol]`` is a row of one number per language.
+
+    It travels as its counts; each worker spreads them out when it first needs to.
+    """
 
     def __init__(self, grams, order: int | None = None):
         self.langs = sorted(grams["lang"].unique())
         size = 2 * max(1, len(self.langs))
         self.order = order if order is not None else next((d for d in (3, 2, 1) if SYMBOLS ** (d + 1) * size <= TABLE_BYTES), 0)
-        seen = np.zeros(256)
-        codes = grams["gram"].to_numpy()
-        np.add.at(seen, codes & 255, grams["n"].to_numpy())
-        ranked = [int(b) for b in np.lexsort((np.arange(256), -seen))]
+        self._lang = np.searchsorted(np.array(self.langs, dtype=object), grams["lang"].to_numpy(dtype=object)) if self.langs else np.zeros(0, np.int64)
+        self._gram, self._n = grams["gram"].to_numpy(np.uint32), grams["n"].to_numpy(np.int64)
+        seen = np.bincount(self._gram & np.uint32(255), self._n, minlength=256)
+        ranked = np.lexsort((np.arange(256), -seen))
         self.symbol = np.full(256, SYMBOLS - 1, np.uint32)
         self.symbol[ranked[: SYMBOLS - 1]] = np.arange(SYMBOLS - 1)
-        context = np.zeros(len(codes), np.int64)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "bits"}
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        context = np.zeros(len(self._gram), np.int64)
         for shift in (24, 16, 8, 0):
-            context = context * SYMBOLS + self.symbol[codes >> shift & 255]
-        self.bits = np.zeros((SYMBOLS ** (self.order + 1), max(1, len(self.langs))), np.float16)
-        for i, lang in enumerate(self.langs):
-            own = (grams["lang"] == lang).to_numpy()
-            self.bits[:, i] = self._lengths(context[own], grams["n"].to_numpy()[own])
+            context = context * SYMBOLS + self.symbol[self._gram >> np.uint32(shift) & np.uint32(255)]
+        out = np.zeros((SYMBOLS ** (self.order + 1), max(1, len(self.langs))), np.float16)
+        for i in range(len(self.langs)):
+            out[:, i] = self._lengths(context[self._lang == i], self._n[self._lang == i])
+        return out
 
     def _lengths(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
         p = np.full((1, SYMBOLS), 1 / SYMBOLS)
@@ -113,7 +123,7 @@ class Ppm:
             left = shorter.sum(axis=1, keepdims=True)
             escape = np.where(left > 0, distinct, 0)
             p[contexts] = table / (total + escape) + shorter * np.divide(escape, left * (total + escape), out=np.zeros_like(left), where=left > 0)
-        return -np.log2(p).ravel()
+        return -np.log2(p, out=p).ravel()
 
     def code_lengths(self, text: bytes) -> np.ndarray:
         """Bits of ``text`` under each language."""
