@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm.common import map_batches, table
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 CACHE_CHARS = 64
 ID_BITS = 24
 ID_MASK = (1 << ID_BITS) - 1
@@ -69,7 +69,7 @@ class Bpe:
         self.added = added
         self.added_split = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.find = regex.compile(PATTERN).findall
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}
 
     def merge_word(self, word: bytes) -> tuple[int, ...]:
         get, byte_id = self.merges.get, self.byte_id
@@ -104,43 +104,45 @@ class Bpe:
                     heappush(heap, m * n + h)
         return tuple([s for s in sym if s >= 0])
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids = self.merge_word(word.encode())
+    def _word(self, word: str) -> bytes:
+        ids = np.array(self.merge_word(word.encode()), "<u4").tobytes()
         if len(word) <= CACHE_CHARS:
             if len(self.cache) >= CACHE_WORDS:
                 self.cache.clear()
             self.cache[word] = ids
         return ids
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode_packed(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
-            return []
-        ids: list[int] = []
+            return b""
+        packed: list[bytes] = []
         get, word = self.cache.get, self._word
         parts = self.added_split.split(text) if self.added_split and any(a in text for a in self.added) else [text]
         for part in parts:
             if part in self.added:
-                ids.append(self.added[part])
-                continue
-            for w in self.find(part):
-                ids += get(w) or word(w)
-        return ids
+                packed.append(self.added[part].to_bytes(4, "little"))
+            else:
+                packed += [get(w) or word(w) for w in self.find(part)]
+        return b"".join(packed)
+
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         strings = self.strings
         return b"".join([strings[i] for i in ids]).decode("utf-8", "replace")
 
 
-_models: dict[int, Bpe] = {}
+_model: Bpe | None = None
 
 
-def worker_model(spec) -> Bpe:
-    """The model of a broadcast vocabulary; built once in each worker."""
-    key = spec.id if hasattr(spec, "id") else id(spec)
-    if key not in _models:
-        _models.clear()
-        _models[key] = Bpe(spec.value)
-    return _models[key]
+def worker_model(spec: str) -> Bpe:
+    """The model of a vocabulary; built once in each worker."""
+    global _model
+    if _model is None or _model.spec != spec:
+        _model = Bpe(spec)
+    return _model
 
 
 def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", texts: bool = False, ids: bool = True) -> DataFrame:
@@ -152,14 +154,14 @@ def encode_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", tex
         spec = df.sparkSession.sparkContext.broadcast(f.read())
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        model = worker_model(spec)
+        model = worker_model(spec.value)
         n, coded, ids_sha, text_sha, decoded = [], [], [], [], []
         for text in batch.column(1):
-            found = model.encode(text.as_py())
-            back = model.decode(found)
-            raw = np.array(found, dtype="<u4")
-            n.append(len(found))
-            ids_sha.append(hashlib.sha256(raw.tobytes()).hexdigest())
+            packed = model.encode_packed(text.as_py())
+            raw = np.frombuffer(packed, "<u4")
+            back = model.decode(raw.tolist())
+            n.append(len(raw))
+            ids_sha.append(hashlib.sha256(packed).hexdigest())
             text_sha.append(hashlib.sha256(back.encode("utf-8", "replace")).hexdigest())
             if ids:
                 coded.append(raw.view("<i4"))

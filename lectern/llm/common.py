@@ -16,6 +16,8 @@ LOWER = UPPER.lower()
 #: Most rows of a key table (some 16 bytes each) that is broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
 
+BATCH_ROWS = 1000
+
 _own_dir: str | None = None
 
 
@@ -75,12 +77,12 @@ _FOLD = str.maketrans(UPPER, LOWER)
 
 
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over single batches; empty batches are skipped."""
+    """``mapInArrow`` over batches of at most ``BATCH_ROWS`` rows, which bounds what a worker holds; empty ones are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from each(batch)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield from each(batch.slice(at, BATCH_ROWS))
 
     return df.mapInArrow(run, schema)
 
