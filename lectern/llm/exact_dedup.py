@@ -36,7 +36,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     full = F.when(F.col("__open"), F.unhex(F.sha2(fold_ascii(F.col("__text")), 256)))
     hashed = materialize(open_rows.select("__id", "__len", full.alias("__full"), *(carry or {})), "hashed")
     groups = hashed.where("__full IS NOT NULL").groupBy("__len", "__full").agg(F.max("__id").alias("__keep"), F.count("*").alias("__n")).where("__n > 1").withColumn("__grouped", F.lit(True))
-    out = hashed.join(groups, ["__len", "__full"], "left")
+    # Written first: few groups are broadcast, and many meet the rows in a join whose hot side Spark can split.
+    out = hashed.join(small(materialize(groups, "groups")), ["__len", "__full"], "left")
     keep = F.when(F.col("__grouped"), F.col("__keep")).otherwise(F.col("__id"))
     return out.select(F.col("__id").alias(id_col), keep.alias("keep_id"), F.coalesce("__n", F.lit(1)).cast("long").alias("group_size"), F.col("__id").eqNullSafe(keep).alias("kept"), *(carry or {}))
 
