@@ -10,8 +10,8 @@ at least one. Keys are pre-aggregated to the smallest and largest node of each b
 
 Components are found by contraction in the shared folder; nothing but counts reaches the driver.
 
-With ``similarity``, links are pairs of at least that Jaccard similarity of their shingle sets, as estimated by the smallest
-``SKETCH`` shingle hashes (exact for texts of no more shingles). Candidates then come from ``sketches`` fingerprints with
+With ``similarity``, links are pairs of at least that Jaccard similarity of their shingle sets. Keys and bits only propose them;
+each is decided on the whole shingle sets of both texts. Candidates then come from ``sketches`` fingerprints with
 independent bits and looser keys (one block equal, a Golay segment within 2 bits): any pair that shares a key and isn't far
 apart is verified. Fingerprints of pairs near 0.8 differ in some 10 of 64 bits, so the recall of single pairs falls from
 nearly all at 0.95 to about half there; groups join through any member.
@@ -36,7 +36,6 @@ from lectern.llm.common import map_batches, materialize, small, table, without
 from lectern.llm.graph import components
 
 SEED = 42
-SKETCH = 256
 #: Candidates for ``similarity`` differ in no more than this share of all their fingerprint bits.
 FAR = 0.2
 
@@ -79,23 +78,23 @@ def _mixed(hashes: np.ndarray, sketch: int) -> np.ndarray:
 
 
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, sketches: int = 1, shingle_sets: bool = False) -> DataFrame:
-    """A row per document: ``__id, f0, f1, ...`` and, with ``shingle_sets``, ``least``: its smallest shingle hashes, sorted."""
+    """A row per document: ``__id, f0, f1, ...`` and, with ``shingle_sets``, ``node``, a hash of its shingle set, and ``text``."""
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        prints, least = [], []
+        prints, sets = [], []
         for text in batch.column(1).cast(pa.binary()):
             hashes = shingle_hashes(text.as_py() or b"", shingle)
             prints.append([fingerprint(_mixed(hashes, s)) for s in range(sketches)])
             if shingle_sets:
-                least.append(np.unique(hashes.view(np.int64))[:SKETCH])
+                sets.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED))
         found = np.array(prints, np.uint64).view(np.int64)
         columns = {"__id": batch.column(0)} | {f"f{s}": pa.array(found[:, s]) for s in range(sketches)}
         if shingle_sets:
-            columns["least"] = pa.array(least, pa.list_(pa.int64()))
+            columns |= {"node": pa.array(np.array(sets, np.uint64).view(np.int64)), "text": batch.column(1)}
         yield pa.RecordBatch.from_pydict(columns)
 
-    rows = df.select(F.col(id_col).alias("__id"), text_col)
-    schema = f"__id {rows.schema[0].dataType.simpleString()}" + "".join(f", f{s} long" for s in range(sketches)) + ", least array<long>" * shingle_sets
+    rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    schema = f"__id {rows.schema[0].dataType.simpleString()}" + "".join(f", f{s} long" for s in range(sketches)) + ", node long, text string" * shingle_sets
     return map_batches(rows, each, schema)
 
 
@@ -131,16 +130,35 @@ def _near(pairs: DataFrame, nodes: DataFrame, names: list[str], most: int) -> Da
     return joined.select("a", "b", _bits("x_", "y_", names).alias("bits")).where(F.col("bits") <= most)
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The (a, b) whose shingle sets are similar enough."""
-    x = sets.select(F.col("node").alias("a"), F.col("least").alias("__x"))
-    y = sets.select(F.col("node").alias("b"), F.col("least").alias("__y"))
-    union = F.slice(F.array_sort(F.array_union("__x", "__y")), 1, SKETCH)
-    shared = F.size(F.array_intersect(F.array_intersect(union, "__x"), "__y"))
-    return pairs.join(x, "a").join(y, "b").where((F.size(union) == 0) | (shared >= F.size(union) * similarity)).select("a", "b")
+def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The (a, b) whose whole shingle sets are similar enough; only the texts of ``pairs`` are moved."""
 
-
-def _links(nodes: DataFrame, names: list[str], sets: DataFrame | None, similarity: float | None) -> DataFrame:
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        known: dict[int, np.ndarray] = {}
+
+        def shingles(node: int, text: bytes | None) -> np.ndarray:
+            if node not in known:
+                if len(known) >= 64:
+                    known.clear()
+                known[node] = np.unique(shingle_hashes(text or b"", shingle))
+            return known[node]
+
+        good = []
+        a, b, x, y = (batch.column(c) for c in ("a", "b", "x", "y"))
+        for i in range(batch.num_rows):
+            p, q = shingles(a[i].as_py(), x[i].cast(pa.binary()).as_py()), shingles(b[i].as_py(), y[i].cast(pa.binary()).as_py())
+            shared = len(np.intersect1d(p, q, assume_unique=True))
+            good.append(shared >= (len(p) + len(q) - shared) * similarity)
+        yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    pairs = materialize(pairs, "pairs")
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    held = materialize(texts.join(small(ends), "node", "left_semi").dropDuplicates(["node"]), "texts")
+    x, y = held.toDF("a", "x"), held.toDF("b", "y")
+    return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), each, "a long, b long")
+
+
+def _links(nodes: DataFrame, names: list[str], texts: DataFrame | None, shingle: int, similarity: float | None) -> DataFrame:
     """(node, root) of the nodes that have links."""
     most = golay.MAX_BITS if similarity is None else int(64 * len(names) * FAR)
     keys = _keys(nodes, names, similarity is not None)
@@ -155,7 +173,7 @@ def _links(nodes: DataFrame, names: list[str], sets: DataFrame | None, similarit
     else:
         # A node tries its smallest and its closest pivot; what that misses is left to the join by labels.
         tried = stars.groupBy("a").agg(F.min("b").alias("p"), F.min_by("b", F.struct("bits", "b")).alias("q"))
-        links = _alike(tried.select("a", F.explode(F.array_distinct(F.array("p", "q"))).alias("b")), sets, similarity)
+        links = _alike(tried.select("a", F.explode(F.array_distinct(F.array("p", "q"))).alias("b")), texts, shingle, similarity)
     labels = components(links)
 
     labelled = members.select("key", "node").join(labels.toDF("n", "root"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("label"))
@@ -166,7 +184,7 @@ def _links(nodes: DataFrame, names: list[str], sets: DataFrame | None, similarit
     open_rows = materialize(labelled.join(mixed, "key", "left_semi").join(nodes.select("node", *names), "node"), "open")
     x, y = _prefixed(open_rows, "x_"), _prefixed(open_rows, "y_")
     pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_label") < F.col("y_label")) & (_bits("x_", "y_", names) <= most)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    more = materialize(pairs if similarity is None else _alike(pairs, sets, similarity), "links")
+    more = materialize(pairs if similarity is None else _alike(pairs, texts, shingle, similarity), "links")
     if more.isEmpty():
         return labels
     return components(labels.union(more))
@@ -182,13 +200,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = materialize(fingerprints(df, id_col, text_col, shingle, sketches, similarity is not None), "prints")
     if similarity is None:
         docs = docs.withColumn("node", F.col("f0"))
-        sets = None
+        texts = None
         nodes = materialize(docs.groupBy("node").agg(F.min("__id").alias("least_id"), F.min("f0").alias("f0")), "nodes")
     else:
-        docs = docs.withColumn("node", F.xxhash64("least", *names))
-        nodes = materialize(docs.groupBy("node").agg(F.min("__id").alias("least_id"), *[F.min(n).alias(n) for n in names], F.any_value("least").alias("least")), "nodes")
-        sets = nodes.select("node", "least")
-    roots = _links(nodes.select("node", *names), names, sets, similarity)
+        nodes = materialize(docs.groupBy("node").agg(F.min("__id").alias("least_id"), *[F.min(n).alias(n) for n in names]), "nodes")
+        texts = docs.select("node", "text")
+    roots = _links(nodes.select("node", *names), names, texts, shingle, similarity)
     roots = materialize(roots, "roots")
     named = roots.join(nodes.select("node", "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
     groups = roots.join(named, "root").select("node", "component_id")

@@ -78,3 +78,26 @@ def test_similar_texts_leave_one(spark, sketches, missed):
     left = {x.doc_id for x in kept.collect()}
     assert set(range(0, 60, 2)) <= left
     assert len(left) - 30 <= missed
+
+
+def similar(spark, rows, **options):
+    """Groups of more than one text, and the similarities of all pairs, by brute force."""
+    sets = {i: set(simhash.shingle_hashes(t.encode(), 5).tolist()) for i, t in rows}
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, **options).collect()}
+    return group, lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+
+
+def test_whole_shingle_sets_decide(spark):
+    r = np.random.default_rng(5)
+    rows, edits = [], [84, 86, *range(90, 97), *range(90, 97)]
+    for n in edits:  # some above and some below 0.8, all near it
+        base = [f"w{k}" for k in r.integers(0, 10**6, 4000)]
+        copy = list(base)
+        for at in r.choice(800, n, replace=False):
+            copy[5 * at + 2] = f"e{at}"
+        rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    group, alike = similar(spark, rows)
+    pairs = [(i, i + 1) for i in range(0, len(rows), 2)]
+    assert len({alike(i, j) >= 0.8 for i, j in pairs}) == 2
+    assert not [(i, j) for i, j in pairs if group[i] == group[j] and alike(i, j) < 0.8]
