@@ -11,10 +11,14 @@ at least one. Keys are pre-aggregated to the smallest and largest node of each b
 Components are found by contraction in the shared folder; nothing but counts reaches the driver.
 
 With ``similarity``, links are pairs of at least that Jaccard similarity of their shingle sets. Keys and bits only propose them;
-each is decided on the whole shingle sets of both texts. Candidates then come from ``sketches`` fingerprints with
-independent bits and looser keys (one block equal, a Golay segment within 2 bits): any pair that shares a key and isn't far
-apart is verified. Fingerprints of pairs near 0.8 differ in some 10 of 64 bits, so the recall of single pairs falls from
-nearly all at 0.95 to about half there; groups join through any member.
+each is decided on the whole shingle sets of both texts. Two kinds of keys propose:
+
+* ``sketches`` fingerprints with independent bits and looser Golay keys (one block equal, a segment within 2 bits) join dense
+  groups cheaply, as in 1 above. Fingerprints of pairs near 0.8 differ in some 10 of 64 bits, so many such pairs share no key.
+* Prefixes make up for those, exactly: in any order of all shingles, two sets of n and m shingles with similarity s or more
+  share one of their first ``n - ceil(s n) + 1`` and ``m - ceil(s m) + 1``. The order is by the count in a sample of
+  ``SAMPLE_DOCS`` documents, rare ones first; the sample bears on the cost only. Members of a bucket with different labels are
+  joined unless their sizes and the places of the shared shingle rule out the similarity, so no link is lost.
 
 Defined results: null and blank texts have fingerprint zero and are alike; a text of fewer words than a shingle is one shingle;
 null ids belong to a group but never name it, unless all its ids are null; repeated rows and ids are rows each; an empty
@@ -23,6 +27,7 @@ table gives an empty table. Extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +43,8 @@ from lectern.llm.graph import components
 SEED = 42
 #: Candidates for ``similarity`` differ in no more than this share of all their fingerprint bits.
 FAR = 0.2
+#: Documents in which shingles are counted for the order of prefixes, and how many of the most frequent are told apart.
+SAMPLE_DOCS, COMMON = 5_000, 100_000
 
 
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
@@ -77,24 +84,55 @@ def _mixed(hashes: np.ndarray, sketch: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, sketches: int = 1, shingle_sets: bool = False) -> DataFrame:
-    """A row per document: ``__id, f0, f1, ...`` and, with ``shingle_sets``, ``node``, a hash of its shingle set, and ``text``."""
+def _common(df: DataFrame, id_col: str, text_col: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingle hashes that several documents of a sample share, at most ``COMMON``, sorted, and their counts."""
+
+    def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        sets = [np.unique(shingle_hashes(text.as_py() or b"", size).view(np.int64)) for text in batch.column(0).cast(pa.binary())]
+        hashes, n = np.unique(np.concatenate(sets), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"h": pa.array(hashes), "n": pa.array(n.astype(np.int64))})
+
+    share = min(1.0, SAMPLE_DOCS / max(1, df.count()))
+    chosen = df.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30))).select(text_col)
+    found = map_batches(chosen, each, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    hashes, counts = found["h"].to_numpy(), found["n"].to_numpy()
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def _prefix(hashes: np.ndarray, common: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of a set, the rarest first, of which any set that is similar enough has one among its own such."""
+    seen = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        seen = np.where(common[at] == hashes, counts[at], 0)
+    size = len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1
+    return hashes[np.lexsort((hashes, seen))[:size]]
+
+
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int, sketches: int = 1, similarity: float | None = None) -> DataFrame:
+    """A row per document: ``__id, f0, f1, ...`` and, with ``similarity``, ``node``, a hash of its shingle set, ``n``, the
+    size of the set, ``prefix``, its first shingles in the order of prefixes, and ``text``."""
+    common, counts = (None, None) if similarity is None else _common(df, id_col, text_col, shingle)
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        prints, sets = [], []
+        prints, sets, sizes, prefixes = [], [], [], []
         for text in batch.column(1).cast(pa.binary()):
             hashes = shingle_hashes(text.as_py() or b"", shingle)
             prints.append([fingerprint(_mixed(hashes, s)) for s in range(sketches)])
-            if shingle_sets:
-                sets.append(xxhash.xxh64_intdigest(np.unique(hashes).tobytes(), SEED))
+            if similarity is not None:
+                each_once = np.unique(hashes.view(np.int64))
+                sets.append(xxhash.xxh64_intdigest(each_once.tobytes(), SEED))
+                sizes.append(len(each_once))
+                prefixes.append(_prefix(each_once, common, counts, similarity))
         found = np.array(prints, np.uint64).view(np.int64)
         columns = {"__id": batch.column(0)} | {f"f{s}": pa.array(found[:, s]) for s in range(sketches)}
-        if shingle_sets:
-            columns |= {"node": pa.array(np.array(sets, np.uint64).view(np.int64)), "text": batch.column(1)}
+        if similarity is not None:
+            columns |= {"node": pa.array(np.array(sets, np.uint64).view(np.int64)), "n": pa.array(sizes, pa.int32()), "prefix": pa.array(prefixes, pa.list_(pa.int64())), "text": batch.column(1)}
         yield pa.RecordBatch.from_pydict(columns)
 
     rows = df.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
-    schema = f"__id {rows.schema[0].dataType.simpleString()}" + "".join(f", f{s} long" for s in range(sketches)) + ", node long, text string" * shingle_sets
+    schema = f"__id {rows.schema[0].dataType.simpleString()}" + "".join(f", f{s} long" for s in range(sketches)) + ", node long, n int, prefix array<long>, text string" * (similarity is not None)
     return map_batches(rows, each, schema)
 
 
@@ -158,6 +196,38 @@ def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float)
     return map_batches(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y"), each, "a long, b long")
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    named = labels.toDF("__n", "__root")
+    return rows.join(named, F.col("node") == F.col("__n"), "left").withColumn("label", F.coalesce("__root", "node")).drop("__n", "__root")
+
+
+def _complete(nodes: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``labels`` joined by every pair of different labels that is similar enough, found by shared prefix shingles."""
+    tokens = _labelled(nodes.select("node", "n", "prefix"), labels).select("node", "n", "label", F.posexplode("prefix").alias("at", "key"))
+    shared = materialize(tokens.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key"), "shared")
+    tokens = materialize(tokens.join(small(shared), "key"), "tokens")
+
+    # Each node tries the first node of the buckets it is in most often, which joins dense groups.
+    first = tokens.groupBy("key").agg(F.min("node").alias("b"))
+    tried = tokens.join(first, "key").where("node <> b").groupBy(F.col("node").alias("a"), "b").count()
+    links = _alike(tried.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b")), texts, shingle, similarity)
+    labels = components(labels.union(links))
+
+    tokens = materialize(_labelled(tokens.drop("label"), labels), "labelled")
+    # One of the buckets with the same members is enough: the first in the order, which has the smallest places.
+    held = F.struct(F.count("*").alias("c"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.bit_xor(F.xxhash64("node")).alias("all"))
+    mixed = tokens.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), held.alias("held"), F.sum("at").alias("places")).where("x <> y")
+    mixed = mixed.groupBy("held").agg(F.min_by("key", "places").alias("key")).select("key")
+    open_rows = materialize(tokens.join(mixed, "key", "left_semi"), "open")
+    x, y = _prefixed(open_rows, "x_"), _prefixed(open_rows, "y_")
+    # At the first shingle that two sets share, no more than what follows it in both can be shared.
+    most = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    enough = most * (1 + similarity) >= (F.col("x_n") + F.col("y_n")) * similarity - 1e-6
+    pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_label") < F.col("y_label")) & enough).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    more = materialize(_alike(pairs, texts, shingle, similarity), "links")
+    return labels if more.isEmpty() else components(labels.union(more))
+
+
 def _links(nodes: DataFrame, names: list[str], texts: DataFrame | None, shingle: int, similarity: float | None) -> DataFrame:
     """(node, root) of the nodes that have links."""
     most = golay.MAX_BITS if similarity is None else int(64 * len(names) * FAR)
@@ -171,10 +241,12 @@ def _links(nodes: DataFrame, names: list[str], texts: DataFrame | None, shingle:
     if similarity is None:
         links = stars.select("a", "b")
     else:
-        # A node tries its smallest and its closest pivot; what that misses is left to the join by labels.
+        # A node tries its smallest and its closest pivot; what that misses is left to the prefixes.
         tried = stars.groupBy("a").agg(F.min("b").alias("p"), F.min_by("b", F.struct("bits", "b")).alias("q"))
         links = _alike(tried.select("a", F.explode(F.array_distinct(F.array("p", "q"))).alias("b")), texts, shingle, similarity)
     labels = components(links)
+    if similarity is not None:
+        return _complete(nodes, labels, texts, shingle, similarity)
 
     labelled = members.select("key", "node").join(labels.toDF("n", "root"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("label"))
     labelled = materialize(labelled, "labelled")
@@ -184,7 +256,7 @@ def _links(nodes: DataFrame, names: list[str], texts: DataFrame | None, shingle:
     open_rows = materialize(labelled.join(mixed, "key", "left_semi").join(nodes.select("node", *names), "node"), "open")
     x, y = _prefixed(open_rows, "x_"), _prefixed(open_rows, "y_")
     pairs = x.join(y, (F.col("x_key") == F.col("y_key")) & (F.col("x_label") < F.col("y_label")) & (_bits("x_", "y_", names) <= most)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
-    more = materialize(pairs if similarity is None else _alike(pairs, texts, shingle, similarity), "links")
+    more = materialize(pairs, "links")
     if more.isEmpty():
         return labels
     return components(labels.union(more))
@@ -197,15 +269,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     sketches = 1 if similarity is None else sketches
     names = [f"f{s}" for s in range(sketches)]
-    docs = materialize(fingerprints(df, id_col, text_col, shingle, sketches, similarity is not None), "prints")
+    docs = materialize(fingerprints(df, id_col, text_col, shingle, sketches, similarity), "prints")
     if similarity is None:
         docs = docs.withColumn("node", F.col("f0"))
         texts = None
         nodes = materialize(docs.groupBy("node").agg(F.min("__id").alias("least_id"), F.min("f0").alias("f0")), "nodes")
     else:
-        nodes = materialize(docs.groupBy("node").agg(F.min("__id").alias("least_id"), *[F.min(n).alias(n) for n in names]), "nodes")
+        nodes = materialize(docs.groupBy("node").agg(F.min("__id").alias("least_id"), *[F.min(n).alias(n) for n in names], F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix")), "nodes")
         texts = docs.select("node", "text")
-    roots = _links(nodes.select("node", *names), names, texts, shingle, similarity)
+    roots = _links(nodes, names, texts, shingle, similarity)
     roots = materialize(roots, "roots")
     named = roots.join(nodes.select("node", "least_id"), "node").groupBy("root").agg(F.min("least_id").alias("component_id"))
     groups = roots.join(named, "root").select("node", "component_id")

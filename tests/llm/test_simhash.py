@@ -101,3 +101,21 @@ def test_whole_shingle_sets_decide(spark):
     pairs = [(i, i + 1) for i in range(0, len(rows), 2)]
     assert len({alike(i, j) >= 0.8 for i, j in pairs}) == 2
     assert not [(i, j) for i, j in pairs if group[i] == group[j] and alike(i, j) < 0.8]
+
+
+def test_every_pair_at_the_similarity_is_joined(spark):
+    r = np.random.default_rng(6)
+    rows = []
+    for _ in range(60):
+        size = int(r.integers(6, 400))
+        base = [f"w{k}" for k in r.integers(0, 10**6, size)]
+        copy = list(base)
+        for at in r.choice(size, max(1, size // 50), replace=False):
+            copy[at] = "Edit"
+        footer = ["All", "rights", "reserved", "by", "the", "press", "of", "the", "town"] * (len(rows) % 4 == 0)
+        rows += [(len(rows), " ".join(base + footer)), (len(rows) + 1, " ".join(copy + footer))]
+    group, alike = similar(spark, rows)
+    links = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if alike(i, j) >= 0.8]
+    assert len(links) > 20 and sum(alike(i, j) < 0.85 for i, j in links) > 5
+    assert [(i, j) for i, j in links if group[i] != group[j]] == []
+    assert {i for i, g in group.items() if list(group.values()).count(g) > 1} == {i for pair in links for i in pair}
