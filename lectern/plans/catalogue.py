@@ -11,8 +11,8 @@ from lectern.operators.annotators import rule_verbs
 from lectern.plans import oracle, samples
 from lectern.sources.readers import as_corpus, category_terms, read_table
 
-TOPICS = topics.TopicSettings(passes=10)
-K = 4
+TOPICS = topics.TopicSettings()
+K, KS = 4, [5, 10, 15, 20, 25]
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def lda_doc_topics(spark, sf_dir):
 
 def lda_coherence(spark, sf_dir):
     bow = _bow(spark, sf_dir)
-    _, scores = topics.select_k(bow, [2, K], TOPICS)
+    _, scores = topics.select_k(bow, KS, TOPICS)
     return spark.createDataFrame(scores, "k int, coherence double")
 
 

@@ -134,3 +134,9 @@ def test_stream_gives_the_batch_result(spark, docs, tmp_path):
     q = search_stream(document_stream(spark, f"{tmp_path}/in", "doc_id long, text string"), ["camp"], f"{tmp_path}/out", f"{tmp_path}/check")
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/out").collect())) == sorted(map(tuple, search.search_terms(docs, ["camp"]).collect()))
+
+
+def test_topics_read_every_document_in_every_pass(spark):
+    bow = spark.createDataFrame([(i, ["apple", "pear"] if i % 2 else ["car", "bus"]) for i in range(20)], "doc_id long, tokens array<string>")
+    lda = topics.train(bow, 2, topics.TopicSettings(no_above=0.9, passes=3)).lda
+    assert (lda.getSubsamplingRate(), lda.getMaxIter()) == (1.0, 3)
