@@ -37,8 +37,14 @@ KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "pem")
 BASE_KINDS = KINDS[:3]
 
 LONG = re.compile(r"[A-Za-z0-9+/_.=-]{24,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{38,}={0,2}|[A-Za-z0-9_-]{38,}={0,2}")
+# By lookahead, so that a token is tried at the start of every segment.
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
+# Whole runs of both alphabets first, then runs of each.
+BASE64 = (re.compile(r"[A-Za-z0-9+/_-]{38,}={0,2}"), re.compile(r"[A-Za-z0-9+/]{38,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{38,}={0,2}"))
+# Base64 of a key's first bytes, to the end of a line.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M|AAAA|b3BlbnNzaC1rZXk)[A-Za-z0-9+/_-]{15,}(?=[ \t]*\r?\n)")
+BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 ANY_HEX = re.compile(r"[0-9a-f]{48,}|[0-9A-F]{48,}")
 PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([^-]*)-----END \1-----")
 SSH_TYPES = re.compile(rb"ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-(ssh|ecdsa)-[a-z0-9@.-]+")
@@ -126,6 +132,35 @@ def is_jwt(header: str, payload: str) -> bool:
     return head is not None and isinstance(head.get("alg"), str) and _json_object(payload) is not None
 
 
+def wrapped_key(text: str, start: int) -> tuple[int, str] | None:
+    """(end, kind) of a key in base64 over several lines from ``start``: its last line is where its own lengths end."""
+    body, longest = "", None
+    while piece := PIECE.match(text, start):
+        body += piece[0]
+        if body.startswith("M"):
+            head = decode_base64(body[:8])  # the tag and up to four bytes of length
+            size = head[1] & 0x7F if head and head[1] & 0x80 else 0
+            need = 2 + size + (int.from_bytes(head[2 : 2 + size], "big") if size else head[1]) if head and size <= 4 else 0
+            got = len(body.rstrip("=")) * 3 // 4
+            if not need or got > need:
+                return None
+            if got == need:
+                return (piece.end(), "der") if is_der_key(decode_base64(body)) else None
+        else:
+            data = decode_base64(body)
+            if data and data.startswith(b"openssh-key-v1\0"):
+                longest = piece.end(), "ssh"
+            elif is_ssh_key(data):
+                return piece.end(), "ssh"
+            elif data and len(data) > 64 and not SSH_TYPES.match(data[4:]):
+                return None
+        gap = BREAK.match(text, piece.end())
+        if piece[0].endswith("=") or not gap:
+            break
+        start = gap.end()
+    return longest
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) by start, then kind as listed."""
     found = []
@@ -145,20 +180,32 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         at, part = run.start(), run.group()
         found += [(at + m.start(), at + m.end(), "hex") for m in HEX.finditer(part) if m.end() - m.start() >= 24]
         if "." in part:
-            found += [(at + m.start(), at + m.end(), "jwt") for m in JWT.finditer(part) if is_jwt(m[1], m[2])]
+            last = 0
+            for m in JWT.finditer(part):
+                if m.start() >= last and is_jwt(m[1], m[2]):
+                    last = m.end(3)
+                    found.append((at + m.start(), at + last, "jwt"))
         if any(a <= at < b for a, b in armoured):
             continue
         spans = {}
         for m in ANY_HEX.finditer(part):
             if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
                 spans[m.span()] = "der"
-        for m in BASE64.finditer(part):
+        for m in (m for pattern in BASE64 for m in pattern.finditer(part)):
+            if any(a < m.end() and m.start() < b for a, b in spans):
+                continue
             data = decode_base64(m[0])
             if is_der_key(data):
                 spans[m.span()] = "der"
             elif is_ssh_key(data):
                 spans[m.span()] = "ssh"
         found += [(at + a, at + b, kind) for (a, b), kind in spans.items()]
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            if any(a <= m.start() < b for a, b in armoured) or any(s[0] == m.start() and s[2] in ("der", "ssh") for s in found):
+                continue
+            if key := wrapped_key(text, m.start()):
+                found.append((m.start(), *key))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -77,3 +77,15 @@ def test_finds_planted_tokens_in_stored_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: r.spans for r in secrets.query(spark, "/root/testdata/sf0.001").collect()}
     assert got == {r.doc_id: secrets.listed(plain_base(r.text)) for r in docs.collect()}
+
+
+def test_url_safe_prefixed_and_wrapped_secrets():
+    body = bytes(range(256)) + b"\xff\xfe" * 20
+    key = der(0x30, der(2, b"\x01" + body), der(2, b"\x01\x00\x01"))
+    safe = base64.urlsafe_b64encode(key).decode().rstrip("=")
+    assert "-" in safe[38:] and (2, 2 + len(safe), "der") in secrets.scan(f"x {safe} y")
+    assert (14, 14 + len(JWT), "jwt") in secrets.scan(f"session_token.{JWT}")
+    for blob, kind in ((RSA, "der"), (key, "der"), (SSH, "ssh")):
+        text = "\n".join(b64(blob)[i : i + 40] for i in range(0, len(b64(blob)), 40))
+        assert (4, 4 + len(text), kind) in secrets.scan(f"see {text}\nand so on")
+        assert (22, 22 + len(text), kind) in secrets.scan(f"MyLongIdentifier12345\n{text}\nand so on")
