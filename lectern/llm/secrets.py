@@ -6,10 +6,14 @@ Base kinds are found by pattern: ``assign`` (a credential's name, a separator, a
 * ``jwt``: three base64url segments, the first a JSON object with ``alg``, the second a JSON object (signed-token headers);
 * ``der``: base64 or hex that decodes to an ASN.1 SEQUENCE whose nested lengths add up exactly, and that has the layout of
   a private or public key (version or algorithm, then integers, octets or bits);
-* ``ssh``: base64 that decodes to length-prefixed fields whose first names an SSH key type, or to an OpenSSH private key;
-* ``pem``: an armoured block whose label ends in KEY and whose body decodes to one of the two above (or is encrypted).
+* ``ssh``: base64 that decodes to length-prefixed fields, as many as the SSH key type that the first names has, or to an OpenSSH
+  private key whose fields fill it;
+* ``pem``: an armoured block whose label ends in KEY and whose body decodes to one of the two above, or has the headers of an
+  encrypted key (cipher and vector) and whole blocks of that cipher;
+* ``jwe``: five base64url segments, the first a JSON object with ``alg`` and ``enc``, with a vector and tag of valid lengths.
 
-Candidates for these are taken only from runs of at least 24 characters of the base64 alphabets, so prose costs one pass.
+A key may start anywhere, after any prefix, and run over several lines: its first bytes say how long it is, and just that much is
+decoded and parsed. Tokens are tried at the start of every segment. Texts without such starts cost one pass.
 
 Defined results: null counts as empty; a text without secrets has zeros and an empty list; repeated rows are scanned each;
 extra columns are ignored. Offsets are code points, the end exclusive.
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -33,21 +38,29 @@ from lectern.llm.common import map_batches, table
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
-KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "pem")
+KINDS = ("assign", "access", "hex", "jwt", "der", "ssh", "pem", "jwe")
 BASE_KINDS = KINDS[:3]
 
 LONG = re.compile(r"[A-Za-z0-9+/_.=-]{24,}")
 # By lookahead, so that a token is tried at the start of every segment.
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
-# Whole runs of both alphabets first, then runs of each.
-BASE64 = (re.compile(r"[A-Za-z0-9+/_-]{38,}={0,2}"), re.compile(r"[A-Za-z0-9+/]{38,}={0,2}"), re.compile(r"[A-Za-z0-9_-]{38,}={0,2}"))
-# Base64 of a key's first bytes, to the end of a line.
-WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_=-])(?:M|AAAA|b3BlbnNzaC1rZXk)[A-Za-z0-9+/_-]{15,}(?=[ \t]*\r?\n)")
+SEGMENT = r"(?<![A-Za-z0-9_-])(?=([A-Za-z0-9_-]{8,})\."
+JWT = re.compile(SEGMENT + r"([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*))")
+JWE = re.compile(SEGMENT + r"([A-Za-z0-9_-]*)\.([A-Za-z0-9_-]{16,22})\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{16,43})(?![A-Za-z0-9_-]))")
+# Base64 of a key's first bytes: a SEQUENCE, the length and first letters of an SSH key type, an OpenSSH private key.
+START = re.compile(r"M(?=[A-P][A-Za-z0-9+/_-]{14})|A(?=AAA(?:[BC]3NzaC1|E2VjZHNh|GnNrLXNz|InNrLWVj))|b(?=3BlbnNzaC1rZXktdjEA)")
+PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
 BREAK = re.compile(r"[ \t]*\r?\n[ \t]*")
-PIECE = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
 ANY_HEX = re.compile(r"[0-9a-f]{48,}|[0-9A-F]{48,}")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*KEY)-----([^-]*)-----END \1-----")
-SSH_TYPES = re.compile(rb"ssh-(rsa|dss|ed25519)|ecdsa-sha2-nistp\d+|sk-(ssh|ecdsa)-[a-z0-9@.-]+")
+ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]*KEY)-----")
+HEADER = re.compile(r"([A-Za-z-]+):[ \t]*(.*)")
+MAGIC = b"openssh-key-v1\0"
+
+#: The longest SSH key looked for, in base64; longer ones are no keys.
+SSH_CHARS = 1 << 16
+
+# Fields of a public key by its type; bytes in a block by cipher.
+SSH_FIELDS = {b"ssh-rsa": 3, b"ssh-dss": 5, b"ssh-ed25519": 2, b"ecdsa-sha2-nistp256": 3, b"ecdsa-sha2-nistp384": 3, b"ecdsa-sha2-nistp521": 3, b"sk-ssh-ed25519@openssh.com": 3, b"sk-ecdsa-sha2-nistp256@openssh.com": 4}
+BLOCKS = {"AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16, "DES-CBC": 8, "DES-EDE3-CBC": 8}
 
 INTEGER, BITS, OCTETS, OID, SEQUENCE = 0x02, 0x03, 0x04, 0x06, 0x30
 
@@ -103,19 +116,42 @@ def is_der_key(data: bytes | None) -> bool:
     return len(tags) >= 3 and algorithm(inner[1]) and tags[2] == OCTETS  # PKCS 8
 
 
+def _fields(data: bytes, at: int, n: int) -> tuple[list[bytes], int] | None:
+    """``n`` length-prefixed fields from ``at``, and where they end."""
+    found = []
+    for _ in range(n):
+        size = int.from_bytes(data[at : at + 4], "big")
+        if at + 4 + size > len(data):
+            return None
+        found.append(data[at + 4 : at + 4 + size])
+        at += 4 + size
+    return found, at
+
+
 def is_ssh_key(data: bytes | None) -> bool:
-    if not data:
-        return False
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at < len(data):
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return False
-        fields.append(data[at + 4 : at + 4 + n])
-        at += 4 + n
-    return len(fields) >= 2 and bool(SSH_TYPES.fullmatch(fields[0]))
+    return bool(data) and ssh_size(data) == len(data)
+
+
+def ssh_size(data: bytes) -> int:
+    """The bytes of the SSH key that ``data`` starts with; 0 if it doesn't start with one."""
+    if data.startswith(MAGIC):
+        head = _fields(data, len(MAGIC), 3)  # cipher, derivation and its options, then the number of keys
+        count = int.from_bytes(data[head[1] : head[1] + 4], "big") if head else 0
+        keys = _fields(data, head[1] + 4, count + 1) if head and 1 <= count <= 16 else None
+        return keys[1] if keys and all(is_ssh_key(k) for k in keys[0][:-1]) and keys[0][-1] else 0
+    first = _fields(data, 0, 1)
+    found = _fields(data, 0, SSH_FIELDS[first[0][0]]) if first and first[0][0] in SSH_FIELDS else None
+    return found[1] if found and all(found[0]) else 0
+
+
+def der_size(head: bytes) -> int:
+    """The bytes of a SEQUENCE by its first bytes; 0 if it can't be a key."""
+    if len(head) < 6 or head[0] != SEQUENCE:
+        return 0
+    size = head[1] & 0x7F if head[1] & 0x80 else 0
+    if size > 3 or head[2 + size] not in (INTEGER, SEQUENCE):
+        return 0
+    return 2 + size + (int.from_bytes(head[2 : 2 + size], "big") if size else head[1])
 
 
 def _json_object(segment: str) -> dict | None:
@@ -132,33 +168,64 @@ def is_jwt(header: str, payload: str) -> bool:
     return head is not None and isinstance(head.get("alg"), str) and _json_object(payload) is not None
 
 
-def wrapped_key(text: str, start: int) -> tuple[int, str] | None:
-    """(end, kind) of a key in base64 over several lines from ``start``: its last line is where its own lengths end."""
-    body, longest = "", None
-    while piece := PIECE.match(text, start):
-        body += piece[0]
-        if body.startswith("M"):
-            head = decode_base64(body[:8])  # the tag and up to four bytes of length
-            size = head[1] & 0x7F if head and head[1] & 0x80 else 0
-            need = 2 + size + (int.from_bytes(head[2 : 2 + size], "big") if size else head[1]) if head and size <= 4 else 0
-            got = len(body.rstrip("=")) * 3 // 4
-            if not need or got > need:
-                return None
-            if got == need:
-                return (piece.end(), "der") if is_der_key(decode_base64(body)) else None
-        else:
-            data = decode_base64(body)
-            if data and data.startswith(b"openssh-key-v1\0"):
-                longest = piece.end(), "ssh"
-            elif is_ssh_key(data):
-                return piece.end(), "ssh"
-            elif data and len(data) > 64 and not SSH_TYPES.match(data[4:]):
-                return None
-        gap = BREAK.match(text, piece.end())
-        if piece[0].endswith("=") or not gap:
+def is_jwe(parts: tuple[str, ...]) -> bool:
+    head, (key, vector, body, tag) = _json_object(parts[0]), map(decode_base64, parts[1:])
+    known = head is not None and isinstance(head.get("alg"), str) and isinstance(head.get("enc"), str)
+    return known and key is not None and bool(body) and len(vector or b"") in (12, 16) and len(tag or b"") in (16, 24, 32)
+
+
+def _wrapped(text: str, start: int, chars: int) -> tuple[str, int]:
+    """Up to so many base64 characters from ``start``, over line ends, and where they end."""
+    found, n = [], 0
+    while n < chars and (piece := PIECE.match(text, start, start + chars - n)):
+        found.append(piece[0])
+        n, end = n + len(piece[0]), piece.end()
+        gap = BREAK.match(text, end)
+        if not gap:
             break
         start = gap.end()
-    return longest
+    return "".join(found), end if found else start
+
+
+def key_at(text: str, start: int) -> tuple[int, str] | None:
+    """(end, kind) of the key whose base64 starts at ``start``: its own lengths say where it ends."""
+    if text[start] == "M":
+        need, kind = der_size(decode_base64(_wrapped(text, start, 12)[0]) or b""), "der"
+    else:
+        kind, need = "ssh", 0
+        for chars in (64, 1 << 10, 1 << 13, SSH_CHARS):  # more of it, until its fields are there
+            body, _ = _wrapped(text, start, chars)
+            data = decode_base64(body[: len(body) - (len(body) % 4 == 1)]) or b""
+            need = ssh_size(data)
+            first = _fields(data, 0, 1)
+            if need or len(body) < chars or not (data.startswith(MAGIC) or first and first[0][0] in SSH_FIELDS):
+                break
+    chars = -(-need * 4 // 3)
+    body, end = _wrapped(text, start, chars) if need else ("", start)
+    if not need or len(body) < chars or not (is_der_key if kind == "der" else is_ssh_key)(decode_base64(body)):
+        return None
+    while chars % 4 and text[end : end + 1] == "=":
+        chars, end = chars + 1, end + 1
+    return end, kind
+
+
+def _armoured(text: str) -> Iterator[tuple[int, int]]:
+    """Spans of armoured blocks whose body is a key."""
+    marks = list(ARMOUR.finditer(text))
+    for m, n in zip(marks, marks[1:], strict=False):
+        if (m[1], n[1]) != ("BEGIN", "END") or m[2] != n[2]:
+            continue
+        headers, body = {}, []
+        for line in map(str.strip, text[m.end() : n.start()].splitlines()):
+            if h := HEADER.fullmatch(line):
+                headers[h[1].lower()] = h[2]
+            else:
+                body.append(line)
+        data = decode_base64("".join(body))
+        cipher, _, vector = headers.get("dek-info", "").partition(",")
+        block = BLOCKS.get(cipher.strip().upper(), 0) if headers.get("proc-type", "").replace(" ", "") == "4,ENCRYPTED" else 0
+        if is_der_key(data) or is_ssh_key(data) or data and block and len(data) % block == 0 and re.fullmatch(rf"[0-9A-Fa-f]{{{2 * block}}}", vector.strip()):
+            yield m.start(), n.end()
 
 
 def scan(text: str) -> list[tuple[int, int, str]]:
@@ -168,44 +235,34 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "assign") for m in ASSIGN.finditer(text) if m.end() - m.start(2) >= 6]
     if "AKIA" in text:
         found += [(m.start(), m.end(), "access") for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
-    armoured: list[tuple[int, int]] = []
-    if "-----BEGIN " in text:
-        for m in PEM.finditer(text):
-            lines = [x.strip() for x in m[2].splitlines()]
-            data = decode_base64("".join(x for x in lines if ":" not in x))
-            if is_der_key(data) or is_ssh_key(data) or (data and "ENCRYPTED" in m[0]):
-                found.append((m.start(), m.end(), "pem"))
-                armoured.append(m.span())
+    armoured = list(_armoured(text)) if "-----BEGIN " in text else []
+    found += [(a, b, "pem") for a, b in armoured]
+    keys: list[tuple[int, int]] = list(armoured)
     for run in LONG.finditer(text):
         at, part = run.start(), run.group()
         found += [(at + m.start(), at + m.end(), "hex") for m in HEX.finditer(part) if m.end() - m.start() >= 24]
         if "." in part:
             last = 0
-            for m in JWT.finditer(part):
-                if m.start() >= last and is_jwt(m[1], m[2]):
-                    last = m.end(3)
-                    found.append((at + m.start(), at + last, "jwt"))
-        if any(a <= at < b for a, b in armoured):
-            continue
-        spans = {}
+            tokens = [(m.start(), m.end(3), "jwt") for m in JWT.finditer(part) if is_jwt(m[1], m[2])]
+            tokens += [(m.start(), m.end(5), "jwe") for m in JWE.finditer(part) if is_jwe(m.groups())]
+            for a, b, kind in sorted(tokens):
+                if a >= last:
+                    last = b
+                    found.append((at + a, at + b, kind))
         for m in ANY_HEX.finditer(part):
-            if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-                spans[m.span()] = "der"
-        for m in (m for pattern in BASE64 for m in pattern.finditer(part)):
-            if any(a < m.end() and m.start() < b for a, b in spans):
-                continue
-            data = decode_base64(m[0])
-            if is_der_key(data):
-                spans[m.span()] = "der"
-            elif is_ssh_key(data):
-                spans[m.span()] = "ssh"
-        found += [(at + a, at + b, kind) for (a, b), kind in spans.items()]
-    if "\n" in text:
-        for m in WRAPPED.finditer(text):
-            if any(a <= m.start() < b for a, b in armoured) or any(s[0] == m.start() and s[2] in ("der", "ssh") for s in found):
-                continue
-            if key := wrapped_key(text, m.start()):
-                found.append((m.start(), *key))
+            last = 0
+            for s in re.finditer("30", m[0]):
+                size = 2 * der_size(bytes.fromhex(m[0][s.start() : s.start() + 12])) if s.start() >= last and s.start() + 12 <= len(m[0]) else 0
+                if size and s.start() + size <= len(m[0]) and is_der_key(bytes.fromhex(m[0][s.start() : s.start() + size])):
+                    last = s.start() + size
+                    keys.append((at + m.start() + s.start(), at + m.start() + last))
+                    found.append((*keys[-1], "der"))
+    last, keys = 0, sorted(keys)
+    for m in START.finditer(text):
+        i = bisect.bisect(keys, (m.start(), len(text)))
+        if m.start() >= last and not (i and keys[i - 1][1] > m.start()) and (key := key_at(text, m.start())):
+            last = key[0]
+            found.append((m.start(), *key))
     return sorted(found, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

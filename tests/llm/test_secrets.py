@@ -60,7 +60,8 @@ def test_keys_in_base64_and_hex(key):
         assert (2, 2 + len(text), "der") in found
     broken = bytearray(key)
     broken[3] ^= 1
-    assert all(s[2] in secrets.BASE_KINDS for s in secrets.scan(b64(bytes(broken))))
+    inner = b64(key).find(b64(RSA)[:40]) if key is PKCS8 else -1  # the whole key within the broken one is still one
+    assert [s[0] for s in secrets.scan(b64(bytes(broken))) if s[2] not in secrets.BASE_KINDS] == [inner] * (inner >= 0)
 
 
 def test_tokens_armour_and_ssh():
@@ -89,3 +90,53 @@ def test_url_safe_prefixed_and_wrapped_secrets():
         text = "\n".join(b64(blob)[i : i + 40] for i in range(0, len(b64(blob)), 40))
         assert (4, 4 + len(text), kind) in secrets.scan(f"see {text}\nand so on")
         assert (22, 22 + len(text), kind) in secrets.scan(f"MyLongIdentifier12345\n{text}\nand so on")
+
+
+def brute_keys(text):
+    """Every span of base64, with line ends between its pieces, that decodes to a key: all starts and ends are tried."""
+    found, i = [], 0
+    while i < len(text):
+        hit = None
+        if text[i] in "MAb":
+            for j in range(i + 16, len(text) + 1):
+                if re.fullmatch(r"[A-Za-z0-9+/_-]+(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*", text[i:j]):
+                    data = secrets.decode_base64(re.sub(r"\s", "", text[i:j]))
+                    if kind := "der" if secrets.is_der_key(data) else "ssh" if secrets.is_ssh_key(data) else None:
+                        hit = (i, j, kind)  # one more character may decode to the same bytes
+                        break
+        if hit:
+            found.append(hit)
+        i = hit[1] if hit else i + 1
+    return found
+
+
+OPENSSH = b"openssh-key-v1\0" + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (SSH, b"\x09" * 70))
+JWE = ".".join([url({"alg": "dir", "enc": "A128GCM"}), "", "AAECAwQFBgcICQoL", "c2VjcmV0", "AAECAwQFBgcICQoLDA0ODw"])
+
+
+@pytest.mark.parametrize("key", [EC, PUBLIC, SSH, OPENSSH])
+@pytest.mark.parametrize("lead", ["", "path/to/", "Mix3dPrefix", "AAAAMII"])
+def test_keys_match_every_start_and_end_tried(key, lead):
+    text = b64(key).rstrip("=")
+    for body in (text, "\n".join(text[i : i + 20] for i in range(0, len(text), 20)), text + "tail", text[:-3]):
+        got = [s for s in secrets.scan(f"see {lead}{body}\n\nend") if s[2] in ("der", "ssh")]
+        want = brute_keys(f"see {lead}{body}\n\nend")
+        assert [(a, k) for a, _, k in got] == [(a, k) for a, _, k in want] and all(0 <= x[1] - y[1] <= 1 for x, y in zip(got, want, strict=True))
+        assert bool(want) == (body != text[:-3]) or lead == "AAAAMII"
+
+
+def test_encrypted_keys_and_tokens_are_parsed():
+    block = lambda label, body, head="": f"-----BEGIN {label}-----\n{head}{body}\n-----END {label}-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,000102030405060708090A0B0C0D0E0F\n\n"
+    kinds = lambda t: [s for s in secrets.scan(t) if s[2] not in secrets.BASE_KINDS]
+    good = block("RSA PRIVATE KEY", b64(b"\x01" * 64), head)
+    assert kinds(f"x {good}") == [(2, 2 + len(good), "pem")]
+    assert kinds(block("RSA PRIVATE KEY", b64(b"\x01" * 63), head)) == []  # not whole blocks
+    assert kinds(block("RSA PRIVATE KEY", b64(b"\x01" * 64), head.replace("0F\n", "\n"))) == []  # a short vector
+    assert kinds(block("ENCRYPTED PRIVATE KEY", b64(b"\x01" * 64))) == []  # a label alone confirms nothing
+    protected = der(0x30, der(0x30, der(6, b"\x2a\x86"), der(5)), der(4, b"\x02" * 48))
+    assert [s[2] for s in kinds(block("ENCRYPTED PRIVATE KEY", b64(protected)))] == ["pem"]
+    assert kinds(f"a.b.{JWE} x") == [(4, 4 + len(JWE), "jwe")]
+    assert kinds(f"{JWT.split('.')[0]}." + JWE.split(".", 1)[1]) == []
+    assert kinds(block("OPENSSH PRIVATE KEY", b64(OPENSSH[:-1]))) == []
+    assert kinds("-----BEGIN A KEY-----" * 3000 + "MA" * 5000 + "A" * 300_000 + "AAAAB3NzaC1" * 2000) == []
