@@ -1,18 +1,21 @@
 """Language identification by prediction by partial matching.
 
-Each language has a context tree over case-folded bytes, of orders 0 to ``order``: counts of what followed each context in its
+Each language has a context tree over case-folded bytes, of orders 0 to ``ORDER``: counts of what followed each context in its
 training texts. A symbol's probability under a context is its share of (occurrences + distinct symbols); the rest is the
 escape probability, spread over the symbols not seen there in proportion to the next shorter context (full exclusion). Order
--1 is uniform. So each context's probabilities sum to one, and the code length of a text is exact: the sum over its
-bytes of the negative binary logarithm, under statistics that are frozen after training. The shortest code wins.
+-1 is uniform over the 256 bytes. So each context's probabilities sum to one, and the code length of a text is the sum over
+its bytes of the negative binary logarithm, under statistics that are frozen after training. The shortest code wins; of
+equal ones, the language that sorts first. Code lengths of symbols are kept as 32-bit floats and summed as 64-bit ones.
 
-Bytes are recoded to at most 64 symbols (the most frequent ones in training; all others share the last), so that the code
-lengths of every context and symbol, for all languages side by side, fit one array: a text's bytes index it, and its rows
-are summed. The highest order of at most 3 whose array is within ``TABLE_BYTES`` is used: 3 for up to 5 languages, 2 for
-up to some 300. The counts travel as a broadcast; each worker makes its array of that bounded size.
+The trees are sparse: for each order, the grams that occur in any of a block of ``LANGS`` languages, in a hash table, with a
+row of code lengths. What a longer context does to a symbol it hasn't seen is one factor, whatever the symbol, so a gram that
+is in no tree costs its context's escape and the length of the gram without its first byte. Order and alphabet are the same
+for any number of languages. The counts travel as a broadcast; each worker builds its tables from them once. Both grow with
+the languages and the size of their samples, not with the corpus.
 
 Training counts come from some ``SAMPLE_DOCS`` documents of each language, chosen by a hash of the id (a documented
-bound on what a classifier is fitted on); those are counted whole, on the executors. Every document is scored whole.
+bound on what a classifier is fitted on; rows that repeat an id are chosen together); those are counted whole, on the
+executors. Every document is scored whole.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter, or if nothing was learned; null ids are
 not learned from, and count as not held out; repeated rows are scored each; extra columns are ignored.
@@ -31,12 +34,13 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import map_batches, table
 
-SYMBOLS = 64
+ORDER = 4
 SAMPLE_DOCS = 400
-TABLE_BYTES = 170_000_000
-START = b"\n\n\n"
+LANGS = 8
+START = b"\n" * ORDER
 LETTER = regex.compile(r"\p{L}")
-BLOCK = 1 << 20
+BLOCK = 1 << 18
+EMPTY = np.uint64(2**64 - 1)
 
 
 def sampled(df: DataFrame, key: Column, size: int, *by: str) -> DataFrame:
@@ -52,8 +56,22 @@ def sampled(df: DataFrame, key: Column, size: int, *by: str) -> DataFrame:
     return df.where(keep)
 
 
-def count_grams(df: DataFrame, lang_col: str, text_col: str) -> list[tuple[str, int, int]]:
-    """(language, four bytes as a number, occurrences) over all rows of a sample."""
+def grams(text: bytes) -> np.ndarray:
+    """Each byte of the case-folded text with the ``ORDER`` bytes before it, as a number."""
+    b = np.frombuffer(START + text.lower(), np.uint8)
+    out = np.zeros(len(b) - ORDER, np.uint64)
+    for i in range(ORDER + 1):
+        out = out << np.uint64(8) | b[i : len(b) - ORDER + i]
+    return out
+
+
+def _summed(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(gram, return_inverse=True)
+    return found, np.bincount(at, n, len(found))
+
+
+def count_grams(df: DataFrame, lang_col: str, text_col: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Grams and their occurrences, by language, over all rows of a sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -61,80 +79,125 @@ def count_grams(df: DataFrame, lang_col: str, text_col: str) -> list[tuple[str,
             texts: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()), strict=True):
                 if text := text.as_py():
-                    b = np.frombuffer(START + text.lower(), np.uint8).astype(np.uint32)
-                    texts.setdefault(lang, []).append(b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:])
-            for lang, grams in texts.items():
-                gram, n = np.unique(np.concatenate(grams), return_counts=True)
+                    texts.setdefault(lang, []).append(grams(text))
+            for lang, found in texts.items():
+                gram, n = np.unique(np.concatenate(found), return_counts=True)
                 if lang in held:
-                    old, m = held[lang]
-                    gram, at = np.unique(np.concatenate([old, gram]), return_inverse=True)
-                    n = np.bincount(at, np.concatenate([m, n])).astype(np.int64)
+                    gram, n = _summed(np.concatenate([held[lang][0], gram]), np.concatenate([held[lang][1], n]))
                 held[lang] = gram, n
         for lang, (gram, n) in held.items():
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(gram), pa.string()), "gram": pa.array(gram.astype(np.int64)), "n": pa.array(n.astype(np.int64))})
 
-    grams = df.select(lang_col, text_col).mapInArrow(run, "lang string, gram long, n long")
-    summed = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return summed.sort_values(["lang", "gram"])
+    rows = df.select(lang_col, text_col).mapInArrow(run, "lang string, gram long, n long")
+    summed = rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    langs, gram, n = np.array(summed["lang"].to_pylist(), object), summed["gram"].to_numpy().astype(np.uint64), summed["n"].to_numpy()
+    return {lang: (gram[langs == lang], n[langs == lang]) for lang in sorted(set(langs))}
+
+
+class Index:
+    """Rows of distinct numbers: a hash table with linear probing, for whole arrays at a time."""
+
+    def __init__(self, numbers: np.ndarray):
+        bits = max(4, int(len(numbers)).bit_length() + 1)
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.rows = np.full(1 << bits, EMPTY), np.zeros(1 << bits, np.int32)
+        left, slot = np.arange(len(numbers)), self._slots(numbers)
+        while len(left):
+            free = self.keys[slot] == EMPTY
+            at, first = np.unique(slot[free], return_index=True)
+            put = left[free][first]
+            self.keys[at], self.rows[at] = numbers[put], put
+            rest = self.keys[slot] != numbers[left]
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
+
+    def _slots(self, numbers: np.ndarray) -> np.ndarray:
+        return (numbers * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def find(self, numbers: np.ndarray) -> np.ndarray:
+        """The row of each number; -1 where it isn't there."""
+        slot = self._slots(numbers)
+        keys = self.keys[slot]
+        out = np.where(keys == numbers, self.rows[slot], -1)
+        left = np.nonzero((keys != numbers) & (keys != EMPTY))[0]
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & self.mask
+            keys = self.keys[slot]
+            out[left] = np.where(keys == numbers[left], self.rows[slot], -1)
+            rest = (keys != numbers[left]) & (keys != EMPTY)
+            left, slot = left[rest], slot[rest]
+        return out
+
+
+class Trees:
+    """The context trees of a few languages side by side."""
+
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
+        self.width = len(counts)
+        self.orders: list[tuple[Index, np.ndarray, Index, np.ndarray]] = []
+        below: list[tuple[np.ndarray, np.ndarray]] = []  # grams and probabilities of the next shorter order, by language
+        for order in range(ORDER + 1):
+            own, escapes = [], []
+            for i, (gram, n) in enumerate(counts):
+                gram, n = _summed(gram & np.uint64(256 ** (order + 1) - 1), n)
+                contexts, row = np.unique(gram >> np.uint64(8), return_inverse=True)
+                total, distinct = np.bincount(row, n, len(contexts)), np.bincount(row, minlength=len(contexts))
+                shorter = np.full(len(gram), 1 / 256) if not order else below[i][1][np.searchsorted(below[i][0], gram & np.uint64(256**order - 1))]
+                left = np.maximum(1 - np.bincount(row, shorter, len(contexts)), 2.0**-40)  # against rounding
+                escape = np.where(distinct < 256, distinct, 0)
+                own.append((gram, n / (total + escape)[row]))
+                escapes.append((contexts, np.log2(np.divide(left * (total + escape), escape, out=np.ones(len(contexts)), where=escape > 0))))
+            below = own
+            known, contexts = (np.unique(np.concatenate([x[0] for x in t])) if t else np.zeros(0, np.uint64) for t in (own, escapes))
+            out = np.zeros((len(contexts), self.width), np.float32)
+            for i, (c, bits) in enumerate(escapes):
+                out[np.searchsorted(contexts, c), i] = bits
+            # Languages that haven't seen a gram that another has: by way of the shorter orders, which are built already.
+            rest = known & np.uint64(256**order - 1)
+            lengths = (self.bits(rest) if order else np.full((len(known), self.width), 8, np.float32)) + out[np.searchsorted(contexts, known >> np.uint64(8))]
+            for i, (gram, p) in enumerate(own):
+                lengths[np.searchsorted(known, gram), i] = -np.log2(p)
+            self.orders.append((Index(known), lengths, Index(contexts), out))
+
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        """A row of code lengths, one by language, for the last byte of each gram after those before it."""
+        total = np.zeros((len(gram), self.width), np.float32)
+        left = np.arange(len(gram))
+        for order in range(len(self.orders) - 1, -1, -1):
+            known, lengths, contexts, escapes = self.orders[order]
+            gram = gram & np.uint64(256 ** (order + 1) - 1)
+            at = known.find(gram)
+            hit = at >= 0
+            total[left[hit]] += lengths[at[hit]]
+            left, gram = left[~hit], gram[~hit]
+            at = contexts.find(gram >> np.uint64(8))
+            total[left[at >= 0]] += escapes[at[at >= 0]]
+        total[left] += 8
+        return total
 
 
 class Ppm:
-    """Frozen code lengths: ``bits[context symbols..., symbol]`` is a row of one number per language.
-
-    It travels as its counts; each worker spreads them out when it first needs to.
-    """
-
-    def __init__(self, grams, order: int | None = None):
-        self.langs = sorted(grams["lang"].unique())
-        size = 2 * max(1, len(self.langs))
-        self.order = order if order is not None else next((d for d in (3, 2, 1) if SYMBOLS ** (d + 1) * size <= TABLE_BYTES), 0)
-        self._lang = np.searchsorted(np.array(self.langs, dtype=object), grams["lang"].to_numpy(dtype=object)) if self.langs else np.zeros(0, np.int64)
-        self._gram, self._n = grams["gram"].to_numpy(np.uint32), grams["n"].to_numpy(np.int64)
-        seen = np.bincount(self._gram & np.uint32(255), self._n, minlength=256)
-        ranked = np.lexsort((np.arange(256), -seen))
-        self.symbol = np.full(256, SYMBOLS - 1, np.uint32)
-        self.symbol[ranked[: SYMBOLS - 1]] = np.arange(SYMBOLS - 1)
+    """Frozen code lengths by language. It travels as its counts; each worker builds the trees when it first needs them."""
+
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+        self.langs = sorted(counts)
+        self._counts = [(counts[x][0].astype("<u8"), counts[x][1].astype("<u4")) for x in self.langs]
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "bits"}
+        return {k: v for k, v in self.__dict__.items() if k != "trees"}
 
     @cached_property
-    def bits(self) -> np.ndarray:
-        context = np.zeros(len(self._gram), np.int64)
-        for shift in (24, 16, 8, 0):
-            context = context * SYMBOLS + self.symbol[self._gram >> np.uint32(shift) & np.uint32(255)]
-        out = np.zeros((SYMBOLS ** (self.order + 1), max(1, len(self.langs))), np.float16)
-        for i in range(len(self.langs)):
-            out[:, i] = self._lengths(context[self._lang == i], self._n[self._lang == i])
-        return out
+    def trees(self) -> list[Trees]:
+        return [Trees(self._counts[i : i + LANGS]) for i in range(0, len(self.langs), LANGS)]
 
-    def _lengths(self, grams: np.ndarray, n: np.ndarray) -> np.ndarray:
-        p = np.full((1, SYMBOLS), 1 / SYMBOLS)
-        for order in range(self.order + 1):
-            key, at = np.unique(grams % SYMBOLS ** (order + 1), return_inverse=True)
-            count = np.bincount(at, n)
-            contexts, row = np.unique(key // SYMBOLS, return_inverse=True)
-            table = np.zeros((len(contexts), SYMBOLS))
-            table[row, key % SYMBOLS] = count
-            p = np.tile(p, (SYMBOLS if order else 1, 1)).astype(np.float32)  # an unseen context: that of one symbol less
-            shorter = np.where(table > 0, 0, p[contexts])
-            distinct = (table > 0).sum(axis=1, keepdims=True)
-            total = table.sum(axis=1, keepdims=True)
-            left = shorter.sum(axis=1, keepdims=True)
-            escape = np.where(left > 0, distinct, 0)
-            p[contexts] = table / (total + escape) + shorter * np.divide(escape, left * (total + escape), out=np.zeros_like(left), where=left > 0)
-        return -np.log2(p, out=p).ravel()
+    def bits(self, gram: np.ndarray) -> np.ndarray:
+        return np.concatenate([t.bits(gram) for t in self.trees], axis=1)
 
     def code_lengths(self, text: bytes) -> np.ndarray:
         """Bits of ``text`` under each language."""
-        s = self.symbol[np.frombuffer(START + text.lower(), np.uint8)]
-        total = np.zeros(len(self.langs))
-        for at in range(3, len(s), BLOCK):
-            end = min(len(s), at + BLOCK)
-            context = np.zeros(end - at, np.uint32)
-            for back in range(self.order, -1, -1):
-                context = context * SYMBOLS + s[at - back : end - back]
-            total += self.bits[context].sum(axis=0, dtype=np.float32)
+        gram, total = grams(text), np.zeros(len(self.langs))
+        for at in range(0, len(gram), BLOCK):
+            total += self.bits(gram[at : at + BLOCK]).sum(axis=0, dtype=np.float64)
         return total
 
 
