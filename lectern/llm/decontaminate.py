@@ -1,15 +1,21 @@
 """Benchmark decontamination by template canonicalisation, in built-in functions only.
 
-Numbers, units after a number, and names (capitalised words inside a sentence) become typed placeholders, the rest is lower-cased.
-Windows of ``WINDOW`` template words (all of a shorter item) of the benchmark are hash-joined with those of every document, and
-compared in full. Along each alignment of a document with an item, a slot value of the item must always stand for one
-value of the document; such consistent matches catch copies, and questions whose numbers, names or units were changed.
+A text has three canonical forms, word for word:
 
-A document is contaminated by an item if consistent windows cover at least ``RUN`` words (or all windows of a shorter item).
-Windows with fewer than ``FIXED`` words that are no placeholder are no evidence.
+* ``typed``: numbers, units after a number, and names become typed placeholders, the rest is lower-cased. A name is any word
+  that starts with a capital, wherever it stands, so that the first word of a sentence is no exception;
+* ``folded``: numbers and units become placeholders, the rest is lower-cased: for copies that lost their capitals;
+* ``literal``: lower-cased words, for items of which no folded window is evidence.
 
-The benchmark's windows are broadcast if their counted number is within a bound; beyond it, the join shuffles both sides.
-Documents are never shuffled in the former case; matches are pre-aggregated by alignment.
+Windows of ``WINDOW`` words (all of a shorter item) of the benchmark's forms are hash-joined with those of every document, and
+compared in full. Windows with fewer than ``FIXED`` words that are no placeholder are no evidence. In a run of hits at one
+alignment of a document with an item, a slot value of the item must always stand for one value of the document (whatever
+its case). A document is contaminated by an item if consistent hits cover at least ``RUN`` words (or all that is evidence in a
+shorter item): in a run without a gap, or over a whole alignment that is consistent. So a slot that differs elsewhere
+doesn't hide a verbatim run. An item of fewer than ``FIXED`` words contaminates only a document that holds nothing else.
+
+The hashes of the benchmark's windows are broadcast if their counted number is within a bound; beyond it, documents' hashes
+are shuffled, without words, and the documents that have hits are read again. Hits are pre-aggregated by alignment.
 
 Defined results: null texts count as empty and match nothing, null ids are kept as ids; rows repeated with one id are
 one document; items repeated with one id are one item; empty tables give an empty table; extra columns are ignored.
@@ -17,10 +23,10 @@ one document; items repeated with one id are one item; empty tables give an empt
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import BROADCAST_ROWS, materialize, table, without
+from lectern.llm.common import BROADCAST_ROWS, materialize, small, table, without
 
 WINDOW, RUN, FIXED = 8, 13, 4
 
@@ -30,15 +36,18 @@ UNITS = "km cm mm m kg mg g lb lbs oz ml l km/h mph % °c °f hz khz mhz ghz kb
 SPACE = " \t\n\x0b\f\r"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
 UNIT = r"(?i)(<num>\s?)(?:" + "|".join(sorted((u.replace("/", "\\/") for u in UNITS.split()), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}])"
-NAME = r"(?<=[\p{Ll},;]\s)\p{Lu}\p{Ll}+"
+NAME = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{L}*"
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$"
 
 
-def template(text: Column) -> Column:
-    """The canonical text; white space, and so the number of words, stays as it is."""
-    named = F.regexp_replace(text, NAME, "<name>")
-    numbered = F.regexp_replace(named, NUMBER, "<num>")
-    return F.lower(F.when(F.contains(numbered, F.lit("<num>")), F.regexp_replace(numbered, UNIT, "$1<unit>")).otherwise(numbered))
+TYPED, FOLDED, LITERAL = 0, 1, 2
+
+
+def forms(text: Column) -> list[Column]:
+    """The canonical texts, by kind; white space, and so the number of words, stays as it is."""
+    numbered = F.regexp_replace(text, NUMBER, "<num>")
+    marked = F.when(F.contains(numbered, F.lit("<num>")), F.regexp_replace(numbered, UNIT, "$1<unit>")).otherwise(numbered)
+    return [F.lower(F.regexp_replace(marked, NAME, "<name>")), F.lower(marked), F.lower(text)]
 
 
 def _words(text: Column) -> Column:
@@ -54,54 +63,81 @@ def _slots(template_words: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
-    """``h, item_id, item_at, size, item_template, item_words, item_windows``, of windows that are evidence."""
+    """``kind, h, item_id, item_at, place, item_windows, size, item_template, item_words`` of windows that are evidence.
+
+    ``place`` is the ordinal of a window among the ``item_windows`` of its item and kind.
+    """
     rows = items.select(F.col(item_col).alias("item_id"), _text(text_col).alias("t")).distinct()
-    rows = rows.select("item_id", _words(F.col("t")).alias("w"), _words(template(F.col("t"))).alias("c")).where(F.size("w") > 0)
+    rows = rows.select("item_id", _words(F.col("t")).alias("w"), F.array(*map(_words, forms(F.col("t")))).alias("c")).where(F.size("w") > 0)
     rows = rows.withColumn("size", F.least(F.size("w"), F.lit(WINDOW)))
     rows = rows.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.size("w") - F.col("size"))))
+    rows = rows.select("*", F.posexplode("c").alias("kind", "form"))
     cut = lambda c: F.slice(c, F.col("item_at") + 1, F.col("size"))
-    rows = rows.select("item_id", "item_at", "size", cut("c").alias("item_template"), cut("w").alias("item_words"))
-    rows = rows.where(F.size(F.filter(_slots(F.col("item_template")), lambda s: ~s)) >= FIXED)
-    counts = rows.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
-    matched = counts.withColumnRenamed("item_id", "__item")
-    return rows.join(matched, F.col("item_id").eqNullSafe(F.col("__item"))).drop("__item").withColumn("h", F.xxhash64("item_template"))
+    rows = rows.select("kind", "item_id", "item_at", "size", cut("form").alias("item_template"), cut("w").alias("item_words"))
+    evident = rows.where((F.col("kind") != LITERAL) & (F.size(F.filter(_slots(F.col("item_template")), lambda s: ~s)) >= FIXED))
+    known = evident.where(F.col("kind") == FOLDED).select(F.col("item_id").alias("__item")).distinct()
+    other = rows.where(F.col("kind") == LITERAL).join(known, F.col("item_id").eqNullSafe(F.col("__item")), "left_anti")
+    found = evident.unionByName(other)
+    item = Window.partitionBy("item_id", "kind")
+    place = F.dense_rank().over(item.orderBy("item_at"))
+    found = found.withColumn("place", place).withColumn("item_windows", F.max("place").over(item))
+    return found.withColumn("h", F.xxhash64("kind", "item_template"))
+
+
+def _hits(text: DataFrame, bench: DataFrame, broadcast_rows: int) -> DataFrame:
+    """``__id, at, kind, h, words, seen`` of the documents' windows whose hash the benchmark has."""
+    hashes = materialize(bench.select("h", "kind", "size").distinct(), "hashes")
+    few = hashes.count() <= broadcast_rows
+    sizes = {r[0]: r[1] for r in hashes.groupBy("size").agg(F.max("kind")).collect()}  # at most WINDOW of them
+    cut = lambda c: F.slice(c, F.col("at") + 1, F.col("size"))
+    found = None
+    for size, last in sorted(sizes.items()):
+        # Positions are generated, and windows hashed after that, so that all of it is compiled: a lambda over the array isn't.
+        kinds = last + 1
+        every = F.when(F.size("w") >= size, F.sequence(F.lit(0), (F.size("w") - size + 1) * kinds - 1))
+        rows = text.select("*", F.explode(every).alias("i")).select("*", F.expr(f"cast(i div {kinds} AS int)").alias("at"), (F.col("i") % kinds).alias("kind"), F.lit(size).alias("size"))
+        form = F.when(F.col("kind") == TYPED, cut("c0")).when(F.col("kind") == FOLDED, cut("c1")).otherwise(cut("c2"))
+        rows = rows.withColumn("h", F.xxhash64("kind", form))
+        own = hashes.where(F.col("size") == size).select("h")
+        if few:
+            rows = rows.join(F.broadcast(own), "h", "left_semi")
+        else:
+            hits = rows.select("h", "__id", "at", "kind").join(own, "h", "left_semi").distinct()
+            hits = small(materialize(hits.select(F.col("__id").alias("__hit"), "at", "kind", "h"), "hits"))
+            rows = text.join(hits, F.col("__id").eqNullSafe(F.col("__hit"))).withColumn("size", F.lit(size))
+        rows = rows.select("__id", "at", "kind", "h", cut("w").alias("words"), form.alias("seen"), F.size("w").alias("doc_size"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """A row per contaminated document and item: ``id_col, item_id, n_windows, item_windows, coverage, reparameterised``."""
     bench = materialize(benchmark_windows(items, item_col, item_text_col), "bench")
-    sizes = [r[0] for r in bench.groupBy("size").count().orderBy("size").collect()]  # at most WINDOW of them
-    small = bench.count() <= broadcast_rows
-    text = docs.select(F.col(id_col).alias("__id"), _text(text_col).alias("__text")).withColumn("__template", _words(template(F.col("__text"))))
-    found = []
-    for size in sizes:
-        # Positions are generated, and windows hashed after that, so that all of it is compiled: a lambda over the array isn't.
-        starts = F.when(F.size("__template") >= size, F.sequence(F.lit(0), F.size("__template") - size))
-        rows = text.select("__id", "__text", "__template", F.explode(starts).alias("at"))
-        rows = rows.withColumn("h", F.xxhash64(F.slice("__template", F.col("at") + 1, size)))
-        words = F.slice(_words(F.col("__text")), F.col("at") + 1, size).alias("words")
-        seen = F.slice("__template", F.col("at") + 1, size).alias("seen")
-        own = bench.where(F.col("size") == size)
-        if small:
-            rows = rows.join(F.broadcast(own), "h").select("__id", "at", "item_id", "item_at", "item_template", "item_words", "item_windows", words, seen)
-        else:
-            rows = rows.select("__id", "at", "h", words, seen).join(own, "h")
-        found.append(rows)
-    if not found:
+    text = docs.select(F.col(id_col).alias("__id"), _text(text_col).alias("__text"))
+    text = text.select("__id", _words(F.col("__text")).alias("w"), *[_words(c).alias(f"c{k}") for k, c in enumerate(forms(F.col("__text")))])
+    found = _hits(text, bench, broadcast_rows)
+    if found is None:
         empty = docs.limit(0).select(F.col(id_col))
         return empty.select(id_col, F.lit(None).cast(items.schema[item_col].dataType).alias("item_id"), F.lit(0).cast("long").alias("n_windows"), F.lit(0).cast("long").alias("item_windows"), F.lit(0.0).alias("coverage"), F.lit(False).alias("reparameterised"))
-    hits = found[0]
-    for rows in found[1:]:
-        hits = hits.unionByName(rows.select(hits.columns) if small else rows)
-    strip = lambda w: F.regexp_replace(w, EDGES, "")
+    strip = lambda w: F.lower(F.regexp_replace(w, EDGES, ""))
     pairs = F.filter(F.zip_with(F.arrays_zip("item_words", "words"), _slots(F.col("item_template")), lambda p, s: F.when(s, F.struct(strip(p["item_words"]).alias("b"), strip(p["words"]).alias("d")))), lambda p: p.isNotNull())
-    # Not a bare equality, which would make the arrays a join key of every window.
-    hits = hits.where(F.coalesce(F.col("seen") == F.col("item_template"), F.lit(False))).select("__id", "item_id", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", "item_windows", pairs.alias("pairs"))
-    lined = hits.groupBy("__id", "item_id", "shift").agg(F.countDistinct("item_at").alias("n"), F.max("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    keys = F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"])))
-    good = lined.where((F.size("pairs") == keys) & (F.col("n") >= F.least(F.lit(RUN - WINDOW + 1), "item_windows")))
-    changed = F.exists("pairs", lambda p: p["b"] != p["d"])
-    best = good.groupBy("__id", "item_id").agg(F.max("n").alias("n_windows"), F.max("item_windows").alias("item_windows"), F.min(changed).alias("reparameterised"))
+    pairs = F.when(F.col("kind") == LITERAL, F.filter(pairs, lambda _: F.lit(False))).otherwise(pairs)
+    hits = found.join(bench.drop("kind"), "h").where((F.col("seen") == F.col("item_template")) & ((F.col("size") >= FIXED) | (F.col("doc_size") == F.col("size"))))
+    hits = hits.select("__id", "item_id", "kind", (F.col("at") - F.col("item_at")).alias("shift"), "place", "item_windows", pairs.alias("pairs"))
+    # A hit of rows repeated with one id, or of items repeated with one id, counts once; its pairs are those of all.
+    lined = hits.groupBy("__id", "item_id", "kind", "shift", "place").agg(F.max("item_windows").alias("item_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
+    lined = lined.groupBy("__id", "item_id", "kind", "shift").agg(F.max("item_windows").alias("item_windows"), F.array_sort(F.collect_list(F.struct("place", "pairs"))).alias("hits"))
+    need = F.least(F.lit(RUN - WINDOW + 1), F.col("item_windows"))
+    merged = lambda some: F.array_distinct(F.flatten(F.transform(some, lambda h: h["pairs"])))
+    agree = lambda p: F.size(p) == F.size(F.array_distinct(F.transform(p, lambda x: x["b"])))
+    run = lambda i: F.slice("hits", i, need)
+    whole = lambda r: F.element_at(r, -1)["place"] - F.element_at(r, 1)["place"] == need - 1
+    starts = F.when(F.size("hits") >= need, F.sequence(F.lit(1), F.size("hits") - need + 1)).otherwise(F.array().cast("array<int>"))
+    good = F.filter(starts, lambda i: whole(run(i)) & agree(merged(run(i))))
+    places = F.when(agree(merged(F.col("hits"))) & (F.size("hits") >= need), F.sequence(F.lit(1), F.size("hits"))).otherwise(F.array_distinct(F.flatten(F.transform(good, lambda i: F.sequence(i, i + need - 1)))))
+    lined = lined.withColumn("places", places).where(F.size("places") > 0)
+    changed = F.exists("places", lambda i: F.exists(F.element_at("hits", i)["pairs"], lambda p: p["b"] != p["d"]))
+    best = lined.groupBy("__id", "item_id").agg(F.max(F.size("places")).cast("long").alias("n_windows"), F.max("item_windows").cast("long").alias("item_windows"), F.min(changed).alias("reparameterised"))
     return best.select(F.col("__id").alias(id_col), "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), "reparameterised")
 
 
