@@ -16,7 +16,8 @@ DATE = r"\d{1,2}\s+\w+\s+\d{4}"
 
 
 def _trim_end(c: Column) -> Column:
-    return F.nullif(F.regexp_replace(strip(c), r"[ ,.]+$", ""), F.lit(""))
+    """Empty if nothing is left, which isn't the same as null: the label was there."""
+    return F.regexp_replace(strip(c), r"[ ,.]+$", "")
 
 
 def _until_label(value: Column) -> Column:
@@ -39,7 +40,7 @@ def biography(block: Column) -> dict[str, Column]:
     born = matches(t, r"(?Ud)born on\s+(.+?)(?:\s+[Ii]n\s|\s*$)", 1)
     born_short = matches(t, r"(?Ud)born (?:on\s+)?(.+?)(?:\s+[Ii]n\s)", 1)
     religions = F.transform(F.slice(F.split(t, r"(?iUd)religion\s+"), 2, 1_000_000), _until_label)
-    usable = F.filter(religions, lambda v: v.isNotNull() & ~v.rlike(r"(?Ud)^[,–\-\s]+$") & ~v.startswith(","))
+    usable = F.filter(religions, lambda v: (v != "") & ~v.rlike(r"(?Ud)^[,–\-\s]+$") & ~v.startswith(","))
     document = _after(t, r"identification\s+document\s*:")
     return {
         "title": title,

@@ -8,11 +8,15 @@ from pyspark.sql import functions as F
 from lectern.functions.text import collapse, strip, words
 
 # Given names that the ending would misjudge, or that settle any order of name parts.
-FEMALE = "Miriam Edith Edit Esther Ester Ruth Margit Judith Ingrid Astrid Gudrun Ruchel Rachel Elisabeth Elizabeth Carmen Ellen Helen Mignon".split()
+FEMALE = (
+    "Miriam", "Edith", "Edit", "Esther", "Ester", "Ruth", "Margit", "Judith", "Ingrid", "Astrid", "Gudrun", "Ruchel", "Rachel", "Elisabeth", "Elizabeth", "Carmen", "Ellen", "Helen", "Mignon",
+)
 MALE = (
-    "Adam Alfred Andrzej Antoni Arkadjusz Bartłomiej Bohdan Bolesław Bonifacy Bronisław Czesław Drew Edmund Emanuel Ernest Eugeniusz Feliks Ferenc Franciszek Genek Henryk Hersz Hieronim Izaak Izrael Jakub Jan Jerzy Józef Kanty Karol "
-    "Kazimierz Leon Lucjan Ludwik Majer Marian Marjan Michał Mieczysław Natan Paweł Peter Piotr Roman Ryszard Stanisław Stefan Tadeusz Wacław Wincenty Władysław Włodzimierz Wojciech Zbigniew Zdzisław Zygmunt"
-).split()
+    "Adam", "Alfred", "Andrzej", "Antoni", "Arkadjusz", "Bartłomiej", "Bohdan", "Bolesław", "Bonifacy", "Bronisław", "Czesław", "Drew", "Edmund", "Emanuel", "Ernest", "Eugeniusz", "Feliks", "Ferenc",
+    "Franciszek", "Genek", "Henryk", "Hersz", "Hieronim", "Izaak", "Izrael", "Jakub", "Jan", "Jerzy", "Józef", "Kanty", "Karol", "Kazimierz", "Leon", "Lucjan", "Ludwik", "Majer", "Marian", "Marjan",
+    "Michał", "Mieczysław", "Natan", "Paweł", "Peter", "Piotr", "Roman", "Ryszard", "Stanisław", "Stefan", "Tadeusz", "Wacław", "Wincenty", "Władysław", "Włodzimierz", "Wojciech", "Zbigniew", "Zdzisław",
+    "Zygmunt",
+)
 
 TITLE = r"(?iUd)^(?:Miss|Mrs\.?|Mr\.?|Ms\.?|M\s+Revd|M\s)\s*"
 FEMALE_SURNAME = r"(?iUd)(?:ska|cka|ńska)$"

@@ -86,21 +86,23 @@ def _rule(t: Column) -> Column:
         return F.struct((F.lit(category) if isinstance(category, str) else category).alias("category"), F.lit(how).alias("how"))
 
     noise, calendar, one_day = result("noise", ""), result("calendar", ""), result("day", "default")
+    has = lambda *words: F.greatest(*[F.contains(low, F.lit(w)) for w in words]) if len(words) > 1 else F.contains(low, F.lit(words[0]))
+    # A plain word that a pattern needs is looked for first: most rules then cost no pattern.
     rules = [
-        (t.rlike(AGE) | t.rlike(FRACTION) | (F.length(t) <= 1), noise),
+        ((has("old") & t.rlike(AGE)) | (has("one-") & t.rlike(FRACTION)) | (F.length(t) <= 1), noise),
         (t.rlike(YEAR), calendar),
         (t.rlike(LONG_NUMBER) | t.rlike(OCR), noise),
         (t.rlike(HABITUAL), result("habitual", "")),
-        (t.rlike(LATER), result(later_unit, "spelled")),
+        (has("later") & t.rlike(LATER), result(later_unit, "spelled")),
         (t.rlike(NEXT_DAY), one_day),
         (t.rlike(SEASON), result("season", "default")),
-        (t.rlike(DATE_RANGE) | t.rlike(MONTH_YEAR), calendar),
-        (t.rlike(_span("day")) & ~F.contains(low, F.lit("year")), result("day", "spelled")),
-        (t.rlike(DAY_REFERENCE), one_day),
-        *[(t.rlike(_span(u)), result(u, "spelled")) for u in ("week", "month", "year")],
+        ((has("to") & t.rlike(DATE_RANGE)) | t.rlike(MONTH_YEAR), calendar),
+        (has("day") & t.rlike(_span("day")) & ~has("year"), result("day", "spelled")),
+        (has("day") & t.rlike(DAY_REFERENCE), one_day),
+        *[(has(u) & t.rlike(_span(u)), result(u, "spelled")) for u in ("week", "month", "year")],
         (t.rlike(BARE_MONTH), calendar),
         (t.rlike(I + "^(?:weeks|months|years)$"), result(F.regexp_replace(low, "s$", ""), "")),
-        (t.rlike(COUNTED), result(F.when(counted_unit.isin("night", "hour"), "day").otherwise(counted_unit), "spelled")),
+        (has("day", "week", "month", "year", "night", "hour") & t.rlike(COUNTED), result(F.when(counted_unit.isin("night", "hour"), "day").otherwise(counted_unit), "spelled")),
     ]
     case = F.when(*rules[0])
     for condition, value in rules[1:]:

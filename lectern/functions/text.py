@@ -38,8 +38,8 @@ def collapse(c: Column) -> Column:
 def clean_text(c: Column) -> Column:
     """Collapse white space, drop web and mail addresses, strip. In that order: what an address leaves may be two spaces."""
     spaced = F.regexp_replace(F.coalesce(c, F.lit("")), r"(?Ud)\s+", " ")
-    without_urls = F.regexp_replace(spaced, r"(?Ud)https?://\S+", "")
-    return strip(F.regexp_replace(without_urls, r"(?Ud)\S+@\S+", ""))
+    without_urls = F.when(F.contains(spaced, F.lit("://")), F.regexp_replace(spaced, r"(?Ud)https?://\S+", "")).otherwise(spaced)
+    return strip(F.when(F.contains(without_urls, F.lit("@")), F.regexp_replace(without_urls, r"(?Ud)\S+@\S+", "")).otherwise(without_urls))
 
 
 def words(c: Column) -> Column:
@@ -49,8 +49,8 @@ def words(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences by the boundary rule: final punctuation, white space, an ASCII capital. Stripped, without blanks; null gives none."""
-    parts = F.split(F.coalesce(c, F.lit("")), r"(?Ud)(?<=[.!?])\s+(?=[A-Z])", -1)
-    return F.filter(F.transform(parts, strip), lambda s: s != "")
+    # Stripped as a whole: inside, a part ends at its punctuation and starts at a capital.
+    return F.filter(F.split(strip(F.coalesce(c, F.lit(""))), r"(?Ud)(?<=[.!?])\s+(?=[A-Z])", -1), lambda s: s != "")
 
 
 def rule_sentences(c: Column) -> Column:
@@ -64,6 +64,11 @@ def has_phrase(c: Column, phrase: str, case_sensitive: bool = False) -> Column:
     return c.rlike(("(?Ud)" if case_sensitive else "(?iUd)") + rf"\b{literal(phrase)}\b")
 
 
+def has_any(c: Column, phrases: list[str]) -> Column:
+    """Any of the phrases, as ``has_phrase`` finds them: one pattern, to leave out what holds none."""
+    return c.rlike(rf"(?iUd)\b(?:{'|'.join(map(literal, phrases))})\b") if phrases else F.lit(False)
+
+
 def find(c: Column, marker: str, start: Column | int = 0, case_sensitive: bool = False) -> Column:
     """0-based position of ``marker`` at or after ``start``; -1 if there is none."""
     fold = (lambda x: x) if case_sensitive else F.lower
@@ -84,6 +89,10 @@ def tokens(c: Column, min_length: int = 2, stopwords: list[str] | None = None, k
     """
     found = F.regexp_extract_all(clean_text(c), F.lit(r"(?Ud)[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"), F.lit(0))
     custom = [w for w in stopwords or [] if w not in STOPWORDS]
+    if lemma is None and not custom:
+        # A token with a letter is no number, and the lower-case one stands for it in every list.
+        left = NUMBER_WORDS if keep_stopwords else [*NUMBER_WORDS, *STOPWORDS]
+        return F.filter(F.transform(F.filter(found, lambda w: F.length(w) >= min_length), F.lower), lambda w: (F.length(w) >= min_length) & ~w.isin(*left) & w.rlike(r"\p{L}"))
 
     def keep(w: Column) -> Column:
         numeric = w.rlike(r"(?Ud)^\p{N}+(?:[-'’]\p{N}+)*$") | F.lower(w).isin(*NUMBER_WORDS)

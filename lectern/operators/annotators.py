@@ -29,31 +29,31 @@ BE = ["am", "are", "be", "been", "being", "is", "was", "were"]
 NEGATORS = ["n't", "never", "not"]
 
 
-def spans(sentence: Column, pattern: str) -> Column:
-    """Array of (text, start) of the matches of a pattern, 0-based offsets within the sentence."""
-    marked = F.regexp_replace(F.translate(sentence, "\x01\x02", "  "), pattern, "\x01$0\x02")
-    parts = F.split(marked, "\x01", -1)
-    before = F.struct(F.length(F.element_at(parts, 1)).alias("at"), F.array().cast("array<struct<text:string,start:int>>").alias("spans"))
-
-    def add(state: Column, part: Column) -> Column:
-        text = F.substring_index(part, "\x02", 1)
-        return F.struct((state["at"] + F.length(part) - 1).alias("at"), F.concat(state["spans"], F.array(F.struct(text.alias("text"), state["at"].alias("start")))).alias("spans"))
-
-    return F.aggregate(F.slice(parts, 2, 1_000_000), before, add)["spans"]
-
-
-def rule_names(sentences: DataFrame) -> DataFrame:
-    """Capitalised spans inside sentences: organisations by a word list, places by the preposition before, else persons."""
-    rows = sentences.select("doc_id", "sentence_idx", "sentence_text", F.explode(spans(F.col("sentence_text"), NAME_SPAN)).alias("s"))
-    lead = F.lower(F.element_at(F.split(F.substring(F.col("sentence_text"), F.lit(1), F.col("s.start") - 1), " "), -1))
-    organisation = F.col("s.text").rlike(r"(?Ud)\b(?:" + "|".join(ORG_WORDS) + r")\b")
-    kind = F.when(organisation, "ORG").when(lead.isin(*PLACE_LEADS), "LOC").otherwise("PER")
-    return rows.select(F.col("s.text").alias("text"), kind.alias("entity_type"), F.col("s.start").alias("start"), (F.col("s.start") + F.length("s.text")).alias("end"), F.lit(0.9).alias("confidence"), "sentence_idx", "doc_id")
-
-
-def rule_dates(sentences: DataFrame) -> DataFrame:
-    rows = sentences.select("doc_id", "sentence_idx", F.explode(spans(F.col("sentence_text"), DATE_SPAN)).alias("s"))
-    return rows.select(F.col("s.text").alias("text"), F.lit("DATE").alias("entity_type"), F.col("s.start").alias("start"), (F.col("s.start") + F.length("s.text")).alias("end"), F.lit(1.0).alias("confidence"), "sentence_idx", "doc_id")
+def spans(rows: DataFrame, sentence: str, patterns: dict[str, str]) -> DataFrame:
+    """``rows`` with a row for each match of each named pattern: ``kind, text, start``, offsets 0-based within the sentence.
+
+    Matches are marked in the text, whose pieces then give them and their places; sentences without a match go at once.
+    """
+    plain = F.translate(F.col(sentence), "\x01\x02", "  ")
+    marked = F.array(*[F.struct(F.lit(k).alias("kind"), F.regexp_replace(plain, p, "\x01$0\x02").alias("m")) for k, p in patterns.items()])
+    found = rows.select("*", F.explode(marked).alias("s")).select("*", "s.kind", "s.m").where(F.contains("m", F.lit("\x01"))).drop("s")
+    found = found.select("*", F.posexplode(F.split("m", "\x01", -1)).alias("i", "part")).where("i > 0")
+    start = F.length(F.call_function("substring_index", F.col("m"), F.lit("\x01"), F.col("i"))) - 2 * (F.col("i") - 1)
+    return found.select(*rows.columns, "kind", F.substring_index("part", "\x02", 1).alias("text"), start.alias("start"))
+
+
+def rule_entities(sentences: DataFrame, names: bool = True, dates: bool = True) -> DataFrame:
+    """Names and dates by rule, in one pass. Names are capitalised spans inside sentences: organisations by a word list, places by
+    the preposition before, else persons, with confidence 0.9; dates have confidence 1."""
+    patterns = {"NAME": NAME_SPAN} if names else {}
+    if dates:
+        patterns["DATE"] = DATE_SPAN
+    rows = spans(sentences.select("doc_id", "sentence_idx", "sentence_text"), "sentence_text", patterns)
+    lead = F.lower(F.element_at(F.split(F.substring(F.col("sentence_text"), F.lit(1), F.col("start") - 1), " "), -1))
+    organisation = F.col("text").rlike(r"(?Ud)\b(?:" + "|".join(ORG_WORDS) + r")\b")
+    is_date = F.col("kind") == "DATE"
+    kind = F.when(is_date, "DATE").when(organisation, "ORG").when(lead.isin(*PLACE_LEADS), "LOC").otherwise("PER")
+    return rows.select("text", kind.alias("entity_type"), "start", (F.col("start") + F.length("text")).alias("end"), F.when(is_date, 1.0).otherwise(0.9).alias("confidence"), "sentence_idx", "doc_id")
 
 
 def model_entities(sentences: DataFrame, load: Callable[[], Callable[[list[str]], list[list[dict]]]]) -> DataFrame:
@@ -80,18 +80,15 @@ def rule_verbs(sentences: DataFrame) -> DataFrame:
     """Verbs by form: listed irregular forms and words in -ed (auxiliaries are no verbs here). Passive after a form of be within
     three tokens before; negated after a negator within three tokens before. Also after do not: the word that follows the negator."""
     words = F.regexp_extract_all(F.regexp_replace(F.col("sentence_text"), "n['’]t\\b", " n't"), F.lit(r"(?Ud)n't|[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))
-    rows = sentences.select("doc_id", "sentence_idx", "sentence_text", words.alias("w"))
-
-    def token(word: Column, i: Column) -> Column:
-        before = F.transform(F.slice(F.col("w"), F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3))), F.lower)
-        form = F.lower(word).isin(*IRREGULAR) | word.rlike(r"(?Ud)^\p{L}{2,}[^e\P{L}]ed$")
-        bare = F.exists(F.slice(before, -1, 1), lambda x: x.isin(*NEGATORS)) & word.rlike(r"(?Ud)^\p{Ll}{3,}$") & F.exists(before, lambda x: x.isin("do", "does", "did"))
-        passive = F.exists(before, lambda x: x.isin(*BE)) & form
-        return F.struct(word.alias("verb_text"), (form | bare).alias("is_verb"), F.when(passive, "passive").otherwise("active").alias("voice"), F.when(F.exists(before, lambda x: x.isin(*NEGATORS)), "negated").otherwise("affirmative").alias("polarity"), i.cast("int").alias("verb_idx_in_sentence"))
-
-    def safe(word: Column, i: Column) -> Column:
-        return F.when(i == 0, F.struct(word.alias("verb_text"), (F.lower(word).isin(*IRREGULAR) | word.rlike(r"(?Ud)^\p{L}{2,}[^e\P{L}]ed$")).alias("is_verb"), F.lit("active").alias("voice"), F.lit("affirmative").alias("polarity"), F.lit(0).alias("verb_idx_in_sentence"))).otherwise(token(word, i))
-
-    found = F.filter(F.transform("w", safe), lambda t: t["is_verb"])
-    rows = rows.select("doc_id", "sentence_idx", "sentence_text", F.explode(found).alias("v"))
-    return rows.select("doc_id", "sentence_idx", "sentence_text", "v.verb_text", rule_lemma(F.col("v.verb_text")).alias("verb_lemma"), F.lit("VERB").alias("verb_pos"), "v.voice", "v.polarity", "v.verb_idx_in_sentence")
+    # Generated once, then token by token, so that all tests are compiled; lambdas over arrays aren't.
+    rows = sentences.select("doc_id", "sentence_idx", "sentence_text", F.explode(F.array(words)).alias("w"))
+    rows = rows.select("*", F.posexplode("w").alias("i", "word"))
+    word, i = F.col("word"), F.col("i")
+    before = [F.when(i >= k, F.lower(F.get("w", i - k))) for k in (1, 2, 3)]
+    among = lambda values: F.coalesce(before[0].isin(*values), F.lit(False)) | F.coalesce(before[1].isin(*values), F.lit(False)) | F.coalesce(before[2].isin(*values), F.lit(False))
+    form = F.lower(word).isin(*IRREGULAR) | (word.endswith("ed") & word.rlike(r"(?Ud)^\p{L}{2,}[^e\P{L}]ed$"))
+    bare = F.coalesce(before[0].isin(*NEGATORS), F.lit(False)) & word.rlike(r"(?Ud)^\p{Ll}{3,}$") & among(["do", "does", "did"])
+    rows = rows.withColumn("form", form).where(F.col("form") | bare)
+    voice = F.when(F.col("form") & among(BE), "passive").otherwise("active")
+    polarity = F.when(among(NEGATORS), "negated").otherwise("affirmative")
+    return rows.select("doc_id", "sentence_idx", "sentence_text", word.alias("verb_text"), rule_lemma(word).alias("verb_lemma"), F.lit("VERB").alias("verb_pos"), voice.alias("voice"), polarity.alias("polarity"), i.cast("int").alias("verb_idx_in_sentence"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,30 +24,39 @@ def with_position(rows: DataFrame, totals: DataFrame) -> DataFrame:
     return joined.withColumn("text_position", place)
 
 
-def _fractions() -> list[Column]:
-    return [F.round(F.avg((F.col("category") == c).cast("double")), 6).alias(f"frac_{c}") for c in MEANINGFUL]
+def meaningful(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("category") != "noise")
 
 
-def _dominant(rows: DataFrame, *keys: str) -> DataFrame:
-    """The most frequent category; ties go to the one that comes first in the text."""
-    first = F.min(F.struct("sentence_idx", "start"))
-    counts = rows.groupBy(*keys, "category").agg(F.count("*").alias("k"), first.alias("first"))
-    best = F.min_by("category", F.struct(-F.col("k"), "first", "category"))
-    return counts.groupBy(*keys).agg(best.alias("dominant_category"))
+def _tally(rows: DataFrame, *keys: str, more: list[Column] | None = None) -> DataFrame:
+    """Rows by category, ``k_day`` ..., their number, and the dominant category, in one aggregate.
 
+    The most frequent category dominates; of equally frequent ones, the one that comes first in the text.
+    """
+    of = lambda c: F.col("category") == c
+    place = F.shiftleft(F.col("sentence_idx").cast("long"), 32) + F.col("start")
+    counts = [F.count_if(of(c)).alias(f"k_{c}") for c in MEANINGFUL]
+    firsts = [F.min(F.when(of(c), place)).alias(f"at_{c}") for c in MEANINGFUL]
+    stats = rows.groupBy(*keys).agg(F.count("*").alias("n_expressions"), *counts, *firsts, *(more or []))
+    ranked = F.array_compact(F.array(*[F.when(F.col(f"k_{c}") > 0, F.struct((-F.col(f"k_{c}")).alias("k"), F.col(f"at_{c}").alias("at"), F.lit(c).alias("category"))) for c in MEANINGFUL]))
+    return stats.withColumn("dominant_category", F.array_min(ranked)["category"]).drop(*[f"at_{c}" for c in MEANINGFUL])
 
-def meaningful(rows: DataFrame) -> DataFrame:
-    return rows.where(F.col("category") != "noise")
+
+def _fractions() -> list[Column]:
+    return [F.round(F.col(f"k_{c}") / F.col("n_expressions"), 6).alias(f"frac_{c}") for c in MEANINGFUL]
 
 
 def by_document(rows: DataFrame) -> DataFrame:
-    rows = meaningful(rows)
-    stats = rows.groupBy("doc_id").agg(F.count("*").alias("n_expressions"), F.median("duration_days").alias("median_duration_days"), F.round(F.avg("duration_days"), 6).alias("mean_duration_days"), *_fractions())
-    return stats.join(_dominant(rows, "doc_id"), "doc_id")
+    stats = _tally(meaningful(rows), "doc_id", more=[F.median("duration_days").alias("median_duration_days"), F.round(F.avg("duration_days"), 6).alias("mean_duration_days")])
+    return stats.select("doc_id", "n_expressions", "median_duration_days", "mean_duration_days", *_fractions(), "dominant_category")
 
 
 def with_bin(rows: DataFrame, bins: int, name: str, value: str = "text_position") -> DataFrame:
-    """Equal-width, right-closed bins over the observed range; the one global aggregate is a single row."""
+    """Equal-width, right-closed bins over the observed range; the one global aggregate is a single row.
+
+    ``rows`` are read twice, for the range and for the bins, so they are persisted: what makes them runs once.
+    """
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     ends = rows.agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"))
     wider = F.when(F.col("lo_") == 0, F.lit(0.001)).otherwise(F.abs("lo_") * 0.001)
     ends = ends.select(F.when(F.col("lo_") == F.col("hi_"), F.col("lo_") - wider).otherwise(F.col("lo_")).alias("lo"), F.when(F.col("lo_") == F.col("hi_"), F.col("hi_") + wider).otherwise(F.col("hi_")).alias("hi"))
@@ -58,15 +68,22 @@ def with_bin(rows: DataFrame, bins: int, name: str, value: str = "text_position"
     return rows.crossJoin(F.broadcast(ends)).withColumn(name, total).drop("lo", "hi")
 
 
+def _compact(rows: DataFrame) -> DataFrame:
+    return meaningful(rows).select("doc_id", "sentence_idx", "start", "category", "duration_days", "text_position")
+
+
 def by_section(rows: DataFrame, sections: int = 3) -> DataFrame:
-    rows = with_bin(meaningful(rows), sections, "section")
-    stats = rows.groupBy("doc_id", "section").agg(F.count("*").alias("n_expressions"), F.median("duration_days").alias("median_duration_days"), *_fractions())
-    return stats.join(_dominant(rows, "doc_id", "section"), ["doc_id", "section"])
+    rows = with_bin(_compact(rows), sections, "section")
+    stats = _tally(rows, "doc_id", "section", more=[F.median("duration_days").alias("median_duration_days")])
+    return stats.select("doc_id", "section", "n_expressions", "median_duration_days", *_fractions(), "dominant_category")
 
 
 def by_position(rows: DataFrame, bins: int = 20) -> DataFrame:
-    rows = with_bin(meaningful(rows), bins, "position_bin")
-    stats = rows.groupBy("position_bin").agg(F.count("*").alias("n_expressions"), F.count_distinct("doc_id").alias("n_documents"), *_fractions())
+    rows = with_bin(_compact(rows), bins, "position_bin")
+    counts = lambda f: [f(c).alias(f"k_{c}") for c in MEANINGFUL]
+    documents = rows.groupBy("position_bin", "doc_id").agg(F.count("*").alias("n"), *counts(lambda c: F.count_if(F.col("category") == c)))
+    stats = documents.groupBy("position_bin").agg(F.sum("n").alias("n_expressions"), F.count("*").alias("n_documents"), *counts(lambda c: F.sum(f"k_{c}")))
+    stats = stats.select("position_bin", "n_expressions", "n_documents", *_fractions())
     return stats.withColumn("position_mid", F.round((F.col("position_bin") + 0.5) / bins, 6)).orderBy("position_bin")
 
 
@@ -84,6 +101,17 @@ def report(rows: DataFrame) -> DataFrame:
     return rows.agg(n.alias("total_date_entities"), F.count_if(F.col("category") != "noise").alias("meaningful_expressions"), documents, *counts, *fractions)
 
 
+def full_report(rows: DataFrame, documents: DataFrame, sections: int = 3) -> DataFrame:
+    """One row: ``report`` with noise, the median of expressions by document, and the five categories that dominate most documents."""
+    base = report(rows)
+    noise = F.coalesce(F.bround(F.try_divide(F.col("n_noise"), F.col("total_date_entities")), 3), F.lit(0.0))
+    group = lambda lead: F.struct(*[F.col(f"{lead}_{c}").alias(c) for c in CATEGORIES])
+    base = base.select("total_date_entities", "meaningful_expressions", F.col("n_noise").alias("noise_filtered"), noise.alias("noise_fraction"), "documents_with_expressions", F.lit(sections).alias("n_sections"), group("n").alias("category_counts"), group("frac").alias("category_fractions"))
+    median = documents.agg(F.bround(F.median("n_expressions"), 1).alias("median_expressions_per_doc"))
+    top = dominant_categories(documents).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("documents")).alias("k"), "dominant_category", "documents"))), lambda x: F.struct(x["dominant_category"], x["documents"]))).alias("corpus_dominant_categories"))
+    return base.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(top))  # one row each
+
+
 def dominant_categories(documents: DataFrame, n: int = 5) -> DataFrame:
     return documents.groupBy("dominant_category").agg(F.count("*").alias("documents")).orderBy(F.desc("documents"), "dominant_category").limit(n)
 

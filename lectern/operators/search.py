@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import has_phrase, rule_sentences, sentences
+from lectern.functions.text import has_any, has_phrase, rule_sentences, sentences
 
 
-def text_column(df: DataFrame) -> str:
-    """The text column: ``testimony``, else the first that is ``testimony_body`` or is named like a text."""
-    if "testimony" in df.columns:
-        return "testimony"
-    found = [c for c in df.columns if c == "testimony_body" or "text" in c.lower() or "full" in c.lower()]
+def text_column(df: DataFrame, *names: str, similar: bool = True) -> str:
+    """The first of ``names`` (``testimony``) that is a column, else, with ``similar``, the first column that is named like a text."""
+    found = [n for n in names or ("testimony",) if n in df.columns]
+    if similar:
+        found += [c for c in df.columns if c == "testimony_body" or "text" in c.lower() or "full" in c.lower()]
     if not found:
-        raise ValueError("no text column")
+        raise ValueError(f"no text column among: {', '.join(df.columns)}")
     return found[0]
 
 
-def with_display_id(df: DataFrame, number: str = "testimony_number", missing: str = "unknown") -> DataFrame:
-    """``display_id``: a document's number as text; ``missing`` where it has none."""
-    return df.withColumn("display_id", F.coalesce(F.col(number).cast("long").cast("string"), F.lit(missing)))
+def with_ordinal(df: DataFrame, order: str = "doc_id", name: str = "ordinal") -> DataFrame:
+    """A row's place from 0 in the order of a column, by ranges: no task holds more than one, only their counts meet."""
+    rows = df.repartitionByRange(F.col(order).asc_nulls_first()).sortWithinPartitions(F.col(order).asc_nulls_first()).withColumn("__at", F.monotonically_increasing_id())
+    rows = rows.withColumns({"__part": F.shiftright("__at", 33), "__at": F.col("__at").bitwiseAND((1 << 33) - 1)}).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # a row for each range
+    return rows.join(F.broadcast(before), "__part").withColumn(name, F.col("__at") + F.col("__before")).drop("__part", "__at", "__before")
+
+
+def with_display_id(df: DataFrame, number: str = "testimony_number", missing: str = "unknown", order: str = "doc_id") -> DataFrame:
+    """``display_id``: a document's number as text. ``missing`` where it has none; ``row`` there stands for ``row_`` and its ordinal.
+    Without a column of numbers, the ordinal itself."""
+    if number not in df.columns:
+        return with_ordinal(df, order, "display_id").withColumn("display_id", F.col("display_id").cast("string"))
+    known = F.coalesce(F.col(number).try_cast("double").try_cast("long").cast("string"), F.col(number).cast("string"))
+    if missing != "row":
+        return df.withColumn("display_id", F.coalesce(known, F.lit(missing)))
+    return with_ordinal(df, order, "__row").withColumn("display_id", F.coalesce(known, F.concat(F.lit("row_"), F.col("__row").cast("string")))).drop("__row")
 
 
 def sentence_table(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: bool = False) -> DataFrame:
@@ -48,7 +64,7 @@ def search_word(df: DataFrame, phrase: str, text: str = "text", keep: tuple[str,
 def search_terms(df: DataFrame, terms: list[str], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """A row per sentence and term that it holds, in the order of the terms. Each term is one literal pattern, compiled once."""
     hits = F.array_compact(F.array(*[F.when(has_phrase(F.col("sentence"), t), F.lit(t)) for t in terms])) if terms else F.array().cast("array<string>")
-    rows = sentence_table(df, text, keep)
+    rows = sentence_table(df.where(has_any(F.col(text), terms)), text, keep).where(has_any(F.col("sentence"), terms))
     return rows.select(*keep, "sentence_idx", F.explode(hits).alias("matched_word"), "sentence")
 
 

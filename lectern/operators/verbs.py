@@ -34,9 +34,21 @@ def report(verbs: DataFrame) -> DataFrame:
 def quadrants(verbs: DataFrame, n: int = 20) -> DataFrame:
     """The most frequent lemmas of each voice and polarity, ties alphabetical, with the quadrant's total."""
     counts = verbs.groupBy("voice", "polarity", "verb_lemma").agg(F.count("*").alias("n"))
-    of = Window.partitionBy("voice", "polarity")
-    ranked = counts.withColumns({"rank": F.row_number().over(of.orderBy(F.desc("n"), "verb_lemma")), "quadrant_total": F.sum("n").over(of)})
-    return ranked.where(F.col("rank") <= n)
+    totals = counts.groupBy("voice", "polarity").agg(F.sum("n").alias("quadrant_total"))  # four rows
+    rank = F.row_number().over(Window.partitionBy("voice", "polarity").orderBy(F.desc("n"), "verb_lemma"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= n).join(F.broadcast(totals), ["voice", "polarity"])
+
+
+def full_report(verbs: DataFrame, n: int = 20) -> DataFrame:
+    """One row: ``report`` with the count and the most frequent lemmas of each quadrant."""
+    tops = quadrants(verbs, n).groupBy("voice", "polarity", "quadrant_total").agg(F.array_sort(F.collect_list(F.struct("rank", "verb_lemma", "n"))).alias("top"))
+    columns = []
+    for v in VOICES:
+        for p in POLARITIES:
+            here = (F.col("voice") == v) & (F.col("polarity") == p)
+            top = F.coalesce(F.first(F.when(here, F.col("top")), ignorenulls=True), F.array().cast("array<struct<rank:int,verb_lemma:string,n:bigint>>"))
+            columns += [F.coalesce(F.max(F.when(here, F.col("quadrant_total"))), F.lit(0)).alias(f"{v}_{p}_count"), F.map_from_entries(F.transform(top, lambda x: F.struct(x["verb_lemma"], x["n"]))).alias(f"top_{v}_{p}_verbs")]
+    return report(verbs).crossJoin(F.broadcast(tops.agg(*columns)))  # one row each
 
 
 def select(verbs: DataFrame, lemma: str, voice: str | None = None, polarity: str | None = None) -> DataFrame:

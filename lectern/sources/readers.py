@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import strip, words
+from lectern.sources.pdf import page_texts
 
 CORPUS_SCHEMA = "doc_id string, filename string, n_pages int, n_chars int, n_words int, full_text string, error string"
 
@@ -21,10 +22,9 @@ def _stem(name):
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
-def read_pdfs(spark: SparkSession, folder: str, extract: Callable[[bytes], list[str]]) -> DataFrame:
-    """One row per ``*.pdf``. ``extract`` gives the texts of a file's pages; an error becomes a row with ``error`` set.
-
-    Pages are joined by a blank line.
+def read_pdfs(spark: SparkSession, folder: str, extract: Callable[[bytes], list[str]] = page_texts) -> DataFrame:
+    """One row per ``*.pdf``, in no order: a sort would move all texts, or parse files twice. ``extract`` gives the texts of a
+    file's pages; an error becomes a row with ``error`` set. Pages are joined by a blank line.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
@@ -41,7 +41,7 @@ def read_pdfs(spark: SparkSession, folder: str, extract: Callable[[bytes], list[
             yield pd.DataFrame(rows, columns=["filename", "n_pages", "full_text", "error"])
 
     rows = named.mapInPandas(run, "filename string, n_pages int, full_text string, error string")
-    return as_corpus(rows).orderBy("filename")
+    return as_corpus(rows)
 
 
 def as_corpus(rows: DataFrame) -> DataFrame:

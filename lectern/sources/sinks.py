@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable, Iterator
 
@@ -28,7 +29,7 @@ def write_texts(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
         fs.create_dir(root, recursive=True)
         for b in batches:
             for name, text in zip(b["id"], b["text"], strict=True):
-                with fs.open_output_stream(f"{root}/{name}.txt") as out:
+                with fs.open_output_stream(f"{root}/{plain_name(name)}.txt") as out:
                     out.write(text.encode())
             yield pd.DataFrame({"n": [len(b)]})
 
@@ -45,9 +46,19 @@ def write_report(report: DataFrame, path: str) -> None:
     report_json(report).coalesce(1).write.mode("overwrite").text(path)
 
 
-def safe_name(*parts: str | None) -> str:
-    """A file name from a query and its filters."""
-    return "_".join(re.sub(r"[^\w-]+", "_", p.strip().lower()).strip("_") for p in parts if p and p.strip())
+def as_uri(path: str) -> str:
+    """A path as Arrow's file systems take it."""
+    return path if "://" in path else f"file://{os.path.abspath(path)}"
+
+
+def plain_name(name: str) -> str:
+    """A name that stays in its folder."""
+    return re.sub(r"[/\\\0]", "_", name)
+
+
+def safe_name(query: str, *filters: str | None) -> str:
+    """A file name from a query, every other character of which becomes an underscore, and its filters as they are."""
+    return plain_name("_".join([re.sub(r"[^\w-]", "_", query.lower()), *[f for f in filters if f]]))
 
 
 def write_sheet(df: DataFrame, replace_tab: Callable[[list[list[str]]], None], max_rows: int = 100_000) -> int:

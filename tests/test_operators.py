@@ -85,7 +85,7 @@ def test_sources_and_sinks(spark, tmp_path):
             raise ValueError("broken")
         return content.decode().split("|")
 
-    got = [tuple(r) for r in readers.read_pdfs(spark, f"file://{tmp_path}/pdf", extract).collect()]
+    got = sorted(tuple(r) for r in readers.read_pdfs(spark, f"file://{tmp_path}/pdf", extract).collect())
     assert got == [("a", "a.pdf", 0, 0, 0, "", "broken"), ("b", "b.pdf", 2, 8, 2, "one\n\ntwo", None)]
     out = f"file://{tmp_path}/txt"
     assert sinks.write_texts(spark.createDataFrame([("x", "a\r\nb"), ("y", "")], "doc_id string, full_text string"), out) == 1
@@ -99,7 +99,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [tuple(r) for r in readers.read_csv(spark, f"{tmp_path}/csv", "doc_id string, sentence_text string").collect()] == [("1", 'a "q"\nb')]
     sinks.write_report(verbs.report(spark.createDataFrame([], "verb_lemma string, voice string, polarity string, doc_id string")), f"{tmp_path}/report")
     assert '"total_verbs":0' in spark.read.text(f"{tmp_path}/report").first()[0]
-    assert sinks.safe_name("Camp gate!", None, "Female") == "camp_gate_female"
+    assert sinks.safe_name("Camp gate!", None, "Female") == "camp_gate__Female" and sinks.plain_name("../x") == ".._x"
     rows = []
     assert sinks.write_sheet(table, rows.extend) == 1 and rows[0] == ["doc_id", "sentence_text"]
     assert readers.without_done(table, table, ["doc_id"]).count() == 0
@@ -109,7 +109,9 @@ def test_corpus_tables(spark, docs):
     bow = corpus.bag_of_words(docs)
     assert {r.doc_id: r.token_count for r in bow.collect()} == {1: 4, 2: 0, 3: 0, 4: 5}
     rates = {r.field: (r.filled, r.mean_length) for r in corpus.fill_rates(spark.createDataFrame([("a", 0, True), (" ", 2, None)], "t string, n int, b boolean")).collect()}
-    assert rates == {"t": (1, 1.0), "n": (1, None), "b": (1, None)}
+    assert rates == {"t": (2, 1.0), "n": (1, None), "b": (1, None)}
+    blank = spark.createDataFrame([("", ""), (None, "abc")], "name string, testimony_body string")
+    assert {r.field: (r.filled, r.mean_length) for r in corpus.fill_rates(blank).collect()} == {"name": (1, None), "testimony_body": (1, 3.0)}
 
 
 def test_topics(spark):
