@@ -35,7 +35,8 @@ UNITS = "km cm mm m kg mg g lb lbs oz ml l km/h mph % °c °f hz khz mhz ghz kb
 
 SPACE = " \t\n\x0b\f\r"
 NUMBER = r"[0-9]+(?:[.,:/][0-9]+)*"
-UNIT = r"(?i)(<num>\s?)(?:" + "|".join(sorted((u.replace("/", "\\/") for u in UNITS.split()), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}])"
+ANY_UNIT = "(?:" + "|".join(sorted((u.replace("/", "\\/") for u in UNITS.split()), key=lambda u: (-len(u), u))) + ")"
+UNIT = r"(?i)(<num>\s?)" + ANY_UNIT + r"(?![\p{L}\p{N}])"
 NAME = r"\p{Lu}(?<![\p{L}\p{N}]\p{Lu})\p{L}*"
 EDGES = r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}%]+$"
 
@@ -148,3 +149,87 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id",
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_SQL_SPACE = r"[ \t\n\x0b\f\r]"
+
+
+def _sql_forms(rows: str) -> str:
+    return rf"""
+SELECT id, text, raw, [lower(regexp_replace(marked, '(^|[^\p{{L}}\p{{N}}])\p{{Lu}}\p{{L}}*', '\1<name>', 'g')), lower(marked), lower(raw)] AS forms
+FROM (
+  SELECT id, text, raw, regexp_replace(regexp_replace(raw, '{NUMBER}', '<num>', 'g'), '(<num>{_SQL_SPACE}?){ANY_UNIT}($|[^\p{{L}}\p{{N}}])', '\1<unit>\2', 'gi') AS marked
+  FROM (SELECT DISTINCT id, text, regexp_replace(coalesce(text, ''), '^{_SQL_SPACE}+|{_SQL_SPACE}+$', '', 'g') AS raw FROM {rows})
+) WHERE raw <> ''
+"""
+
+
+def _sql_split(text: str) -> str:
+    return f"string_split_regex({text}, '{_SQL_SPACE}+')"
+
+
+def _sql_strip(word: str) -> str:
+    return f"lower(regexp_replace({word}, '{EDGES}', '', 'g'))"
+
+
+#: The same rules, with every window written out and compared as text.
+ORACLE_SQL = rf"""
+WITH items AS ({_sql_forms("(SELECT item_id AS id, text FROM benchmark)")}),
+docs AS ({_sql_forms("(SELECT doc_id AS id, text FROM documents)")}),
+item_words AS (
+  SELECT id AS item_id, kind, {_sql_split("raw")} AS w, {_sql_split("forms[kind + 1]")} AS c
+  FROM items, (SELECT unnest([0, 1, 2]) AS kind)
+),
+item_windows AS (
+  SELECT item_id, kind, pos, size, w[pos + 1 : pos + size] AS w, c[pos + 1 : pos + size] AS c
+  FROM (SELECT *, least(len(w), {WINDOW}) AS size, unnest(range(0, len(w) - least(len(w), {WINDOW}) + 1)) AS pos FROM item_words)
+),
+evident AS (SELECT * FROM item_windows WHERE kind < 2 AND len(list_filter(c, lambda x: NOT regexp_matches(x, '<num>|<unit>|<name>'))) >= {FIXED}),
+chosen AS (
+  SELECT * FROM evident
+  UNION ALL SELECT * FROM item_windows WHERE kind = 2 AND item_id NOT IN (SELECT item_id FROM evident WHERE kind = 1)
+),
+bench AS (
+  SELECT *, array_to_string(c, ' ') AS template, dense_rank() OVER (PARTITION BY item_id, kind ORDER BY pos) AS place,
+    count(DISTINCT pos) OVER (PARTITION BY item_id, kind) AS n_item
+  FROM chosen
+),
+doc_words AS (
+  SELECT id AS doc_id, kind, size, {_sql_split("raw")} AS w, {_sql_split("forms[kind + 1]")} AS c
+  FROM docs, (SELECT DISTINCT kind, size FROM bench)
+),
+doc_windows AS (
+  SELECT doc_id, kind, size, pos, len(w) AS doc_size, w[pos + 1 : pos + size] AS w, array_to_string(c[pos + 1 : pos + size], ' ') AS template
+  FROM (SELECT *, unnest(range(0, len(w) - size + 1)) AS pos FROM doc_words)
+),
+hits AS (
+  SELECT doc_id, item_id, kind, d.pos - b.pos AS shift, place, n_item, least({RUN - WINDOW + 1}, n_item) AS need, b.c, b.w AS bw, d.w AS dw
+  FROM doc_windows d JOIN bench b USING (kind, size, template) WHERE size >= {FIXED} OR doc_size = size
+),
+slots AS (
+  SELECT doc_id, item_id, kind, shift, place, {_sql_strip("b")} AS b, {_sql_strip("d")} AS d
+  FROM (SELECT doc_id, item_id, kind, shift, place, unnest(c) AS c, unnest(bw) AS b, unnest(dw) AS d FROM hits WHERE kind < 2)
+  WHERE regexp_matches(c, '<num>|<unit>|<name>')
+),
+places AS (SELECT DISTINCT doc_id, item_id, kind, shift, place, n_item, need FROM hits),
+agreeing AS (
+  SELECT doc_id, item_id, kind, shift FROM places p LEFT JOIN slots s USING (doc_id, item_id, kind, shift, place)
+  GROUP BY ALL HAVING count(DISTINCT place) >= any_value(need) AND count(DISTINCT b) = count(DISTINCT (b, d)) FILTER (WHERE b IS NOT NULL)
+),
+runs AS (
+  SELECT a.doc_id, a.item_id, a.kind, a.shift, a.place AS first, a.need
+  FROM places a JOIN places b USING (doc_id, item_id, kind, shift) LEFT JOIN slots s ON (s.doc_id, s.item_id, s.kind, s.shift, s.place) = (b.doc_id, b.item_id, b.kind, b.shift, b.place)
+  WHERE b.place BETWEEN a.place AND a.place + a.need - 1
+  GROUP BY ALL HAVING count(DISTINCT b.place) = a.need AND count(DISTINCT s.b) = count(DISTINCT (s.b, s.d)) FILTER (WHERE s.b IS NOT NULL)
+),
+good AS (
+  SELECT p.* FROM places p JOIN agreeing USING (doc_id, item_id, kind, shift)
+  UNION SELECT p.* FROM places p JOIN runs r ON (p.doc_id, p.item_id, p.kind, p.shift) = (r.doc_id, r.item_id, r.kind, r.shift) AND p.place BETWEEN r.first AND r.first + r.need - 1
+),
+lines AS (
+  SELECT doc_id, item_id, kind, shift, count(DISTINCT place) AS n, any_value(n_item) AS n_item, coalesce(bool_or(b <> d), false) AS changed
+  FROM good LEFT JOIN slots USING (doc_id, item_id, kind, shift, place) GROUP BY ALL
+)
+SELECT doc_id, item_id, max(n) AS n_windows, max(n_item) AS item_windows, max(n) / max(n_item) AS coverage, bool_and(changed) AS reparameterised
+FROM lines GROUP BY doc_id, item_id
+"""

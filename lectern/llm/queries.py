@@ -16,5 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_substring_automata": substring.ORACLE_SQL,
+    "op10_template_decontamination": decontaminate.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }

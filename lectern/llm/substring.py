@@ -428,3 +428,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS words
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d)
+),
+sources AS (SELECT words, min(doc_id) AS least FROM windows GROUP BY words),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + {WINDOW})) AS pos FROM windows JOIN sources USING (words) WHERE least < doc_id
+),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE g.pos IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY e.pos) FILTER (WHERE g.pos IS NULL) AS left_
+  FROM words e LEFT JOIN gone g USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(left_, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
