@@ -190,4 +190,21 @@ SQL = {
     "internment_fields": expected(INTERNMENT),
     "sections": expected(SECTIONS),
     "metadata_fill_rates": fill_rates(),
+    "section_closings": f"SELECT {N} AS doc_id, '1. Life of N' || {N} || '.' AS content_summary, 'We walked for days, number ' || {N} || '.' AS testimony_body, {pick([(c if own else '') + s.VERDICT for c, own in s.CLOSINGS], 'doc_id')} AS interviewer_assessment, CAST(NULL AS VARCHAR) AS warnings FROM documents",
+    "section_warnings": f"SELECT {N} AS doc_id, {pick([*s.WARNINGS, None], 'doc_id')} AS warnings FROM documents",
+    "text_files": f"SELECT {N} AS doc_id, {N} || '.txt' AS filename, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS text FROM documents WHERE text <> ''",
+    "pdf_corpus": f"SELECT {N} AS doc_id, {N} || '.pdf' AS filename, 2 AS n_pages, CAST(length(t) AS INTEGER) AS n_chars, 3 AS n_words, t AS full_text, CAST(NULL AS VARCHAR) AS error FROM (SELECT *, 'Document ' || {N} || chr(10) || chr(10) || coalesce(lang, 'none') AS t FROM documents)",
+    "csv_projection": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "corpus_stored": f"SELECT {N} AS doc_id, {N} || '.pdf' AS filename, 2 AS n_pages, CAST(length(coalesce(text, '')) AS INTEGER) AS n_chars, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS INTEGER) AS n_words, CAST(NULL AS VARCHAR) AS error FROM documents",
+    "word_list": f"SELECT DISTINCT lower(trim(w)) AS word FROM (VALUES {values([(w,) for w in s.WORD_LIST])}) t(w) WHERE trim(w) <> '' AND trim(w) NOT LIKE '#%'",
+    "entities_resumed": f"WITH {ENTITIES} SELECT * FROM ents",
+    "display_ids": "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id * 2 AS VARCHAR) ELSE 'row_' || (row_number() OVER (ORDER BY doc_id) - 1) END AS row_id, CASE WHEN doc_id % 3 <> 0 THEN CAST(doc_id * 2 AS VARCHAR) ELSE 'unknown' END AS display_id FROM documents",
+    "first_documents": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 10",
+    "cloud_words": f"WITH {ENTITIES} SELECT entity_type, text, count(*) AS n FROM ents GROUP BY entity_type, text HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY entity_type ORDER BY n DESC, text) <= 5",
+    "marker_positions": "SELECT doc_id, CASE WHEN strpos(lower(substr(t, 6)), 'the') > 0 THEN strpos(lower(substr(t, 6)), 'the') + 4 ELSE -1 END AS any_case, CASE WHEN strpos(substr(t, 21), 'the') > 0 THEN strpos(substr(t, 21), 'the') + 19 ELSE -1 END AS exact FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)",
+    "rule_sentences": f"SELECT doc_id, CAST(unnest(range(len(parts))) AS INTEGER) AS sentence_idx, unnest(parts) AS sentence FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[\"''”’)\\]]?\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: {strip("x")}), lambda x: x <> '') AS parts FROM documents WHERE text IS NOT NULL)",
+    "verbs_from_parse": f"SELECT {N} AS doc_id, 0 AS sentence_idx, 's' AS sentence_text, 'said' AS verb_text, 'say' AS verb_lemma, p AS verb_pos, CASE WHEN a IN ('nsubjpass', 'auxpass') THEN 'passive' ELSE 'active' END AS voice, CASE WHEN b = 'neg' THEN 'negated' ELSE 'affirmative' END AS polarity, 3 AS verb_idx_in_sentence FROM documents JOIN (VALUES {values([(i, *x) for i, x in enumerate(s.PARSES)])}) t(k, p, a, b) ON k = doc_id % {len(s.PARSES)} WHERE p = 'VERB'",
+    "pacing_full_report": f"WITH {BY_DOC}, n AS (SELECT count(*) AS total, count(*) FILTER (category = 'noise') AS noise, count(*) FILTER (category = 'day') AS day, count(*) FILTER (category = 'season') AS season FROM dates) SELECT total AS total_date_entities, noise AS noise_filtered, round_even(noise::DOUBLE / total, 3) AS noise_fraction, 3 AS n_sections, round_even((SELECT median(n_expressions) FROM by_doc), 1) AS median_expressions_per_doc, day AS n_day, round_even(season::DOUBLE / total, 3) AS frac_season, least(5, (SELECT count(DISTINCT dominant_category) FROM by_doc)) AS n_dominant FROM n",
+    "verb_full_report": f"WITH {VERBS} SELECT count(*) AS total_verbs, " + ", ".join(f"count(*) FILTER (voice = '{v}' AND polarity = '{p}') AS {v}_{p}_count" for v in ("active", "passive") for p in ("affirmative", "negated")) + ", count(*) FILTER (voice = 'passive' AND polarity = 'affirmative' AND verb_lemma = 'beat') AS beat_passive_affirmative FROM vs",
+    "ner_full_report": f"WITH {ENTITIES} SELECT (SELECT count(DISTINCT doc_id) FROM ann) AS total_documents, (SELECT count(*) FROM ann) AS total_sentences, count(*) AS total_entities, count(*) FILTER (entity_type = 'LOC') AS n_loc, count(DISTINCT text) FILTER (entity_type = 'PER') AS unique_per, count(*) FILTER (entity_type = 'ORG' AND text = 'Gestapo') AS n_gestapo FROM ents",
 }

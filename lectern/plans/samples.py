@@ -83,3 +83,48 @@ def testimonies(spark: SparkSession, sf_dir: str) -> DataFrame:
         " too.\n12\nWe walked for days through the snow.\n\nRead, signed and accepted\nEwa N", n, "\nWitness\n", INTERVIEW,
     ]
     return read_table(spark, sf_dir, "documents").select(n.alias("doc_id"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("text"))
+
+
+#: Closing formulas by family, and if the assessment starts at their own line.
+CLOSINGS = [
+    ("Read, signed and accepted\nEwa N\nWitness\n", False), ("Read and signed\nEwa N\nWitness\n", False), ("After reading\nEwa N\nWitness\n", False), ("After interview\nEwa N\nWitness\n", False), ("Opinion: of the office\n", True), ("Commentary. Short\n", True),
+    ("Comments by the office\n", True), ("My comments: few\n", True), ("Some remarks\n", True), ("The testimony was long.\n", True), ("The memoirs of this kind are known.\n", True),
+]
+VERDICT = "Clear answers were given in everything, and calmly."
+MARKERS = ["Here stands", "who – having been cautioned about the truth –", "hereby declares as follows:", "Asked whether I have anything to add, I state as follows:", "[stamp]\nPOLISH SOURCE INSTITUTE\nIN LUND\n[/stamp]"]
+WARNINGS = ["No 'Here stands' found", "No oath clause found", "No 'declares as follows' found", "No 'Asked whether' found", "No testimony body boundary found after 'Asked whether'"]
+
+
+def closed_testimonies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Testimonies with each family of closings; every other one has a printer's line in place of a stamp."""
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    mark = F.when(i % 2 == 1, "BLOM'S PRINTING, LUND\n1945\n").otherwise("[stamp]\nPOLISH SOURCE INSTITUTE\nIN LUND\n[/stamp]\n")
+    text = F.concat(F.lit("Here stands Ms Ewa N born on 7 May 1910 who – having been cautioned – hereby declares as follows: I was.\nAsked whether, I state as follows:\n1. Life of N"), n, F.lit(".\n"), mark, F.lit("We walked for days, number "), n, F.lit(".\n\n"), _pick([c for c, _ in CLOSINGS], i), F.lit(VERDICT))
+    return read_table(spark, sf_dir, "documents").select(n.alias("doc_id"), text.alias("text"))
+
+
+def incomplete_testimonies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Testimonies without the marker of their turn, or with all."""
+    i, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    parts = [F.when(i % (len(MARKERS) + 1) == k, "").otherwise(m + "\n") for k, m in enumerate(MARKERS)]
+    return read_table(spark, sf_dir, "documents").select(n.alias("doc_id"), F.concat(*[x for p in parts for x in (p, F.lit("Some words.\n"))]).alias("text"))
+
+
+def pdfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PDF of two pages for each document, its id on the first, its language on the second."""
+    show = lambda c: F.concat(F.lit("<< >>\nstream\nBT ("), c, F.lit(") Tj ET\nendstream"))
+    objects = [F.lit("<< /Type /Catalog /Pages 2 0 R >>"), F.lit("<< /Type /Pages /Count 2 /Kids [5 0 R 3 0 R] >>"), F.lit("<< /Type /Page /Parent 2 0 R /Contents 4 0 R >>"), show(F.coalesce("lang", F.lit("none"))), F.lit("<< /Type /Page /Parent 2 0 R /Contents 6 0 R >>"), show(F.concat(F.lit("Document "), F.col("doc_id").cast("string")))]
+    body = F.concat(F.lit("%PDF-1.4\n"), *[x for k, o in enumerate(objects) for x in (F.lit(f"{k + 1} 0 obj\n"), o, F.lit("\nendobj\n"))])
+    return read_table(spark, sf_dir, "documents").select("doc_id", body.alias("full_text"))
+
+
+PARSES = [("VERB", "nsubj", "neg"), ("VERB", "nsubjpass", "aux"), ("VERB", "auxpass", "neg"), ("NOUN", "neg", "det"), ("VERB", "dobj", "det")]
+
+
+def parsed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parsed token for each document, its part of speech and its children's labels of a fixed list."""
+    i = F.col("doc_id")
+    return read_table(spark, sf_dir, "documents").select(i.cast("string").alias("doc_id"), F.lit(0).alias("sentence_idx"), F.lit("s").alias("sentence_text"), F.lit("said").alias("text"), F.lit("say").alias("lemma"), _pick([p[0] for p in PARSES], i).alias("pos"), F.lit(3).alias("idx"), F.array(_pick([p[1] for p in PARSES], i), _pick([p[2] for p in PARSES], i)).alias("children"))
+
+
+WORD_LIST = ["# comment", " Camp ", "camp", "", "Gate", "łódź"]

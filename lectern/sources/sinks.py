@@ -21,7 +21,7 @@ def write_csv(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
     df.drop(*drop).write.mode("overwrite").csv(path, header=True, escape='"')
 
 
-def write_texts(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "full_text") -> int:
+def write_texts(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "full_text", ending: str = "txt") -> int:
     """``<id>.txt`` for each document that isn't empty; how many. Files go through Arrow's file systems, from the executors."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -29,7 +29,7 @@ def write_texts(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: st
         fs.create_dir(root, recursive=True)
         for b in batches:
             for name, text in zip(b["id"], b["text"], strict=True):
-                with fs.open_output_stream(f"{root}/{plain_name(name)}.txt") as out:
+                with fs.open_output_stream(f"{root}/{plain_name(name)}.{ending}") as out:
                     out.write(text.encode())
             yield pd.DataFrame({"n": [len(b)]})
 
