@@ -1,20 +1,21 @@
 """Token-id files as wavelet matrices.
 
-A shard file holds the ids of consecutive documents as succinct bit-planes, highest bit first. Each plane is stored
-packed and compressed, with the number of its zeros; the elements with a zero bit come before those with a one in the next
-plane. Ranks are sums of counted words, selects are searches in them. One file answers: the id at a position (access), how
-often an id occurs in a range (rank), where its k-th occurrence is (select), and all of its occurrences.
+A shard file holds the ids of consecutive documents as succinct bit-planes, highest bit first. The elements with a zero bit come
+before those with a one in the next plane. Each plane is stored in blocks of ``BLOCK`` bits, compressed each for itself, with a
+rank directory (the ones of each block), so a lookup expands only the blocks that it touches. One file answers: the id at a
+position (access), how often an id occurs in a range (rank), where its k-th occurrence is (select), and all of its occurrences.
 
-Layout of a file, little-endian: ``LWMX``, version (u32), length of the header (u32), a JSON header (tokens, documents,
-planes, zeros, sizes of the sections), then zstd sections: document ids (i64), their null marks (u8), ids per document (u64),
-and each plane (bits from the lowest of each byte).
+Layout of a file, little-endian: ``LWMX``, version (u32), length of the header (u32), a JSON header (tokens, documents, bits of a
+block, zeros by plane, sizes of the sections), then zstd sections: document ids (i64), their null marks (u8), ids per document
+(u64), the directory (sizes of all blocks, then their ones, u32), and after them the blocks, plane by plane (bits from the lowest
+of each byte).
 
 ``write_tokens`` sorts by document id over ranges, encodes, and cuts a file whenever it has ``shard_tokens`` ids, so memory is
 bounded by that and the longest text. A retried task writes the same file again, and a file is moved into place whole. Files
 go through Arrow's file systems (local, hdfs, s3, gs), and are read with Spark's binary file source.
 
 Defined results: null and empty texts have only the end id; null document ids come first, repeated ids are ordered by text; extra
-columns are ignored; an empty table gives no file and no row.
+columns are ignored; an empty table gives no file and no row. Ids are integers; others are refused by the cast.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import os
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,18 +37,74 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import materialize, shared_path, small, table
 
-MAGIC, VERSION = b"LWMX", 1
+MAGIC, VERSION = b"LWMX", 2
+BLOCK = 1 << 16
 SHARD_TOKENS = 1 << 21
 CACHE_WORDS = 500_000
 END_ID = 1
 
 
+class Plane:
+    """Bits in blocks that are loaded when they are needed, with the stored number of ones before each block."""
+
+    def __init__(self, n: int, before: np.ndarray, load: Callable[[int], bytes]):
+        self.n, self.before, self._load = n, before, load
+        self.loaded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    @classmethod
+    def of(cls, bits: np.ndarray) -> Plane:
+        raw = np.packbits(bits, bitorder="little").tobytes()
+        blocks = [raw[i : i + BLOCK // 8] for i in range(0, len(raw), BLOCK // 8)] or [b""]
+        counts = [int(np.bitwise_count(np.frombuffer(x, np.uint8)).sum()) for x in blocks]
+        return cls(len(bits), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]), blocks.__getitem__)
+
+    def raw(self) -> bytes:
+        return b"".join(map(self._load, range(len(self.before) - 1)))
+
+    def block(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit words of a block, and the ones of it before each word."""
+        if i not in self.loaded:
+            words = np.zeros(BLOCK // 64 + 1, "<u8")
+            raw = np.frombuffer(self._load(i), np.uint8) if i < len(self.before) - 1 else np.zeros(0, np.uint8)
+            words.view(np.uint8)[: len(raw)] = raw
+            before = np.zeros(len(words) + 1, np.int64)
+            np.cumsum(np.bitwise_count(words), out=before[1:])
+            self.loaded[i] = words, before
+        return self.loaded[i]
+
+    def ranked(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bit at each position (0 at the end), and the ones before it."""
+        bit, ones, block = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64), at // BLOCK
+        for i in np.unique(block).tolist():
+            here = slice(None) if block[0] == block[-1] == i and (block == i).all() else np.nonzero(block == i)[0]
+            words, before = self.block(i)
+            place = at[here] - i * BLOCK
+            word, shift = words[place >> 6], (place & 63).astype(np.uint64)
+            bit[here] = word >> shift & np.uint64(1)
+            ones[here] = self.before[i] + before[place >> 6] + np.bitwise_count(word & ((np.uint64(1) << shift) - np.uint64(1)))
+        return bit, ones
+
+    def find(self, k: np.ndarray, one: int) -> np.ndarray:
+        """The position of each k-th one, or zero."""
+        starts = np.arange(len(self.before)) * BLOCK
+        counts = self.before if one else starts - self.before
+        block = np.searchsorted(counts[:-1], k, side="right") - 1
+        out = np.zeros(len(k), np.int64)
+        for i in np.unique(block).tolist():
+            here = np.nonzero(block == i)[0]
+            words, before = self.block(i)
+            held, rest = before if one else np.arange(len(before)) * 64 - before, k[here] - counts[i]
+            word = np.searchsorted(held, rest, side="right") - 1
+            bits = np.unpackbits(words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") == one
+            out[here] = i * BLOCK + word * 64 + (bits.cumsum(axis=1) >= (rest - held[word])[:, None] + 1).argmax(axis=1)
+        return out
+
+
 class WaveletMatrix:
-    """Rank, select and access over a sequence of non-negative integers."""
+    """Rank, select and access over a sequence of non-negative integers. Each loads only the blocks that it needs."""
 
-    def __init__(self, planes: list[np.ndarray], zeros: list[int], n: int):
-        self.n, self.zeros, self._packed = n, zeros, planes
-        self._words: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(planes)
+    def __init__(self, planes: list[Plane], zeros: list[int], n: int):
+        self.n, self.zeros, self.planes = n, zeros, planes
 
     @classmethod
     def build(cls, values: np.ndarray, width: int | None = None) -> WaveletMatrix:
@@ -56,85 +113,62 @@ class WaveletMatrix:
         planes, zeros = [], []
         for level in range(width - 1, -1, -1):
             bits = (values >> np.uint32(level)) & np.uint32(1) == 1
-            planes.append(np.packbits(bits, bitorder="little"))
+            planes.append(Plane.of(bits))
             low = values[~bits]
             zeros.append(len(low))
             values = np.concatenate([low, values[bits]])
         return cls(planes, zeros, len(values))
 
-    def _plane(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """64-bit words of a plane, and the ones before each word."""
-        if self._words[level] is None:
-            raw = self._packed[level]
-            words = np.zeros(self.n // 64 + 1, "<u8")
-            words.view(np.uint8)[: len(raw)] = raw
-            before = np.zeros(len(words) + 1, np.int64)
-            np.cumsum(np.bitwise_count(words), out=before[1:])
-            self._words[level] = words, before
-        return self._words[level]
-
-    def _ones(self, level: int, at: np.ndarray) -> np.ndarray:
-        """Ones of a plane before each position."""
-        words, before = self._plane(level)
-        at = np.asarray(at, np.int64)
-        part = words[at >> 6] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1))
-        return before[at >> 6] + np.bitwise_count(part)
-
     def access(self, at: np.ndarray) -> np.ndarray:
         """The values at positions."""
         at = np.asarray(at, np.int64)
         value = np.zeros(len(at), np.uint32)
-        for level, zero in enumerate(self.zeros):
-            words, _ = self._plane(level)
-            bit = words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)
-            ones = self._ones(level, at)
+        for plane, zero in zip(self.planes, self.zeros, strict=True):
+            bit, ones = plane.ranked(at)
             value = value << np.uint32(1) | bit.astype(np.uint32)
             at = np.where(bit == 1, zero + ones, at - ones)
         return value
 
     def values(self) -> np.ndarray:
-        """All values: the planes undone from the last one up."""
+        """All values: the planes undone from the last one up, which is access at every position at once."""
         value = np.zeros(self.n, np.uint32)
         for i in range(len(self.zeros) - 1, -1, -1):
-            bits = np.unpackbits(self._packed[i], count=self.n, bitorder="little").view(bool)
+            bits = np.unpackbits(np.frombuffer(self.planes[i].raw(), np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(value)
             above[~bits] = value[: self.zeros[i]]
             above[bits] = value[self.zeros[i] :] | np.uint32(1 << (len(self.zeros) - 1 - i))
             value = above
         return value
 
-    def _range(self, symbol: int, start: int, end: int) -> tuple[int, int]:
-        width = len(self.zeros)
-        if symbol < 0 or symbol >> width:
-            return 0, 0
-        for level, zero in enumerate(self.zeros):
-            a, b = self._ones(level, np.array([start, end]))
-            one = symbol >> (width - 1 - level) & 1
-            start, end = (zero + int(a), zero + int(b)) if one else (start - int(a), end - int(b))
-        return start, end
+    def _places(self, symbol: int, at: np.ndarray) -> np.ndarray:
+        """Where positions come to stand below the last plane, on the path of ``symbol``."""
+        at = np.asarray(at, np.int64)
+        for level, (plane, zero) in enumerate(zip(self.planes, self.zeros, strict=True)):
+            _, ones = plane.ranked(at)
+            at = zero + ones if symbol >> (len(self.zeros) - 1 - level) & 1 else at - ones
+        return at
+
+    def counts(self, symbol: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """How often ``symbol`` occurs in each of some ranges (ends exclusive)."""
+        if symbol < 0 or symbol >> len(self.zeros):
+            return np.zeros(len(starts), np.int64)
+        ends = np.minimum(np.asarray(ends, np.int64), self.n)
+        return np.maximum(0, self._places(symbol, ends) - self._places(symbol, np.minimum(starts, ends)))
 
     def rank(self, symbol: int, start: int, end: int) -> int:
-        """How often ``symbol`` occurs in positions start to end (exclusive)."""
-        a, b = self._range(symbol, start, min(end, self.n))
-        return max(0, b - a)
+        return int(self.counts(symbol, np.array([start]), np.array([end]))[0])
 
     def select(self, symbol: int, k: np.ndarray) -> np.ndarray:
         """Positions of the k-th occurrences (from 0); they must exist."""
-        at = self._range(symbol, 0, self.n)[0] + np.asarray(k, np.int64)
+        k = np.asarray(k, np.int64)
+        if not len(k):
+            return k
+        at = self._places(symbol, np.zeros(1, np.int64)) + k
         for level in range(len(self.zeros) - 1, -1, -1):
             one = symbol >> (len(self.zeros) - 1 - level) & 1
-            at = self._find(level, at - self.zeros[level] if one else at, one)
+            at = self.planes[level].find(at - self.zeros[level] if one else at, one)
         return at
 
-    def _find(self, level: int, k: np.ndarray, one: int) -> np.ndarray:
-        """The position of the k-th one, or zero, of a plane."""
-        words, before = self._plane(level)
-        count = before if one else np.arange(len(before)) * 64 - before
-        word = np.searchsorted(count, k, side="right") - 1
-        bits = np.unpackbits(words[word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") == one
-        nth = (k - count[word])[:, None] + 1
-        return word * 64 + (bits.cumsum(axis=1) >= nth).argmax(axis=1)
-
     def occurrences(self, symbol: int) -> np.ndarray:
         """All positions of ``symbol``, in order."""
         return self.select(symbol, np.arange(self.rank(symbol, 0, self.n)))
@@ -145,26 +179,34 @@ def pack(doc_ids: list[int | None], counts: list[int], tokens: np.ndarray) -> by
     matrix = WaveletMatrix.build(tokens)
     squeeze = zstandard.ZstdCompressor(level=1).compress
     ids = np.array([0 if i is None else i for i in doc_ids], "<i8")
-    sections = [squeeze(ids.tobytes()), squeeze(bytes(i is None for i in doc_ids)), squeeze(np.array(counts, "<u8").tobytes()), *(squeeze(p.tobytes()) for p in matrix._packed)]
-    header = json.dumps({"tokens": len(tokens), "documents": len(doc_ids), "zeros": matrix.zeros, "sections": [len(s) for s in sections]}).encode()
-    return MAGIC + struct.pack("<II", VERSION, len(header)) + header + b"".join(sections)
+    blocks = [squeeze(plane._load(i)) for plane in matrix.planes for i in range(len(plane.before) - 1)]
+    ones = np.concatenate([np.diff(plane.before) for plane in matrix.planes])
+    directory = np.array([[len(x) for x in blocks], ones], "<u4").tobytes()
+    sections = [squeeze(x) for x in (ids.tobytes(), bytes(i is None for i in doc_ids), np.array(counts, "<u8").tobytes(), directory)]
+    header = json.dumps({"tokens": len(tokens), "documents": len(doc_ids), "block": BLOCK, "zeros": matrix.zeros, "sections": [len(s) for s in sections]}).encode()
+    return MAGIC + struct.pack("<II", VERSION, len(header)) + header + b"".join(sections) + b"".join(blocks)
 
 
 def unpack(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
-    """Document ids, ids per document, and the matrix of a shard file."""
+    """Document ids, ids per document, and the matrix of a shard file, whose blocks are expanded when they are needed."""
     if data[:4] != MAGIC:
         raise ValueError("not a token file")
     version, size = struct.unpack("<II", data[4:12])
-    if version != VERSION:
-        raise ValueError(f"token file of version {version}")
     header = json.loads(data[12 : 12 + size])
+    if version != VERSION or header["block"] != BLOCK:
+        raise ValueError(f"token file of version {version}, blocks of {header.get('block')}")
     at, parts = 12 + size, []
     expand = zstandard.ZstdDecompressor().decompress
     for n in header["sections"]:
         parts.append(expand(data[at : at + n]))
         at += n
     ids = [None if null else i for i, null in zip(np.frombuffer(parts[0], "<i8").tolist(), parts[1], strict=True)]
-    planes = [np.frombuffer(p, np.uint8) for p in parts[3:]]
+    sizes, ones = np.frombuffer(parts[3], "<u4").astype(np.int64).reshape(2, len(header["zeros"]), -1)
+    ends = at + np.cumsum(sizes.ravel()).reshape(sizes.shape)
+    planes = []
+    for size, end, own in zip(sizes, ends, ones, strict=True):
+        load = lambda i, size=size, end=end: expand(data[end[i] - size[i] : end[i]])
+        planes.append(Plane(header["tokens"], np.concatenate([[0], np.cumsum(own)]), load))
     return ids, np.frombuffer(parts[2], "<u8").astype(np.int64), WaveletMatrix(planes, header["zeros"], header["tokens"])
 
 
@@ -306,10 +348,11 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc
     return materialize(ordered.mapInArrow(run, "part int, file int, path string, tokens long"), "token-index")
 
 
-def read_tokens(index: DataFrame, folder: str, id_col: str = "doc_id", ids: bool = False) -> DataFrame:
-    """A row per document from its files: ``id_col, start, n_tokens, ids_crc32`` and, if asked for, ``ids``.
+def read_tokens(index: DataFrame, folder: str, id_col: str = "doc_id", ids: bool = False, end_id: int = END_ID) -> DataFrame:
+    """A row per document from its files: ``id_col, start, n_tokens, ids_crc32, n_end, end_at`` and, if asked for, ``ids``.
 
-    ``start`` counts the ids of all documents before it.
+    ``start`` counts the ids of all documents before it. ``n_end`` counts the end ids among its own (rank), ``end_at`` is where the
+    last of them stands among all ids (select). A file whose documents are all wanted is undone as a whole.
     """
     spark = index.sparkSession
     parts = index.groupBy("part").agg(F.sum("tokens").alias("n"))
@@ -325,12 +368,14 @@ def read_tokens(index: DataFrame, folder: str, id_col: str = "doc_id", ids: bool
                 tokens = matrix.values().astype("<u4")
                 ends = np.cumsum(counts)
                 docs = [tokens[e - c : e] for c, e in zip(counts.tolist(), ends.tolist(), strict=True)]
-                columns = {id_col: pa.array(doc_ids, pa.int64()), "start": pa.array(start + ends - counts), "n_tokens": pa.array(counts), "ids_crc32": pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64())}
+                n_end = matrix.counts(end_id, ends - counts, ends)
+                end_at = matrix.select(end_id, np.cumsum(n_end) - 1)
+                columns = {id_col: pa.array(doc_ids, pa.int64()), "start": pa.array(start + ends - counts), "n_tokens": pa.array(counts), "ids_crc32": pa.array([zlib.crc32(d.tobytes()) for d in docs], pa.int64()), "n_end": pa.array(n_end), "end_at": pa.array(start + end_at)}
                 if ids:
                     columns["ids"] = pa.array([d.astype(np.int32) for d in docs], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_pydict(columns)
 
-    return files.join(small(starts), "name").select("content", "start").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
+    return files.join(small(starts), "name").select("content", "start").mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long, n_end long, end_at long" + ", ids array<int>" * ids)
 
 
 def occurrences(files: DataFrame, token: int) -> DataFrame:

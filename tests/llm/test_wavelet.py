@@ -22,6 +22,22 @@ def test_queries_of_the_matrix_match_a_plain_array():
             assert m.rank(s, n // 3, n // 2) == (v[n // 3 : n // 2] == s).sum()
 
 
+def test_lookups_expand_only_the_blocks_they_touch():
+    v = np.random.default_rng(1).integers(0, 50_000, 10 * wavelet.BLOCK).astype(np.uint32)
+    data = wavelet.pack([1], [len(v)], v)
+    loaded = lambda m: [len(p.loaded) for p in m.planes]
+    m = wavelet.unpack(data)[2]
+    assert len(m.planes) == 16 and loaded(m) == [0] * 16
+    assert m.access([123_456]).tolist() == [v[123_456]] and max(loaded(m)) == 1
+    m = wavelet.unpack(data)[2]
+    assert m.rank(int(v[0]), 1000, 400_000) == (v[1000:400_000] == v[0]).sum() and max(loaded(m)) <= 2
+    m, symbol = wavelet.unpack(data)[2], int(v[600_000])
+    want = np.nonzero(v == symbol)[0]
+    assert m.select(symbol, [len(want) - 1]).tolist() == want[-1:].tolist() and max(loaded(m)) <= 3
+    starts = np.array([0, 5, wavelet.BLOCK, 3 * wavelet.BLOCK - 1])
+    assert m.counts(symbol, starts, starts + 200_000).tolist() == [(v[a : a + 200_000] == symbol).sum() for a in starts]
+
+
 @pytest.mark.parametrize("shard_tokens", [100, 1 << 20])
 def test_files_give_back_the_library_s_ids(spark, shard_tokens):
     tok = tokenizers.Tokenizer.from_file(wavelet.default_vocabulary())
@@ -36,6 +52,7 @@ def test_files_give_back_the_library_s_ids(spark, shard_tokens):
         ids = [*tok.encode(w[1] or "", add_special_tokens=False).ids, 1]
         assert (g.doc_id, g.start, g.n_tokens, g.ids) == (w[0], start, len(ids), ids)
         assert g.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+        assert (g.n_end, g.end_at) == (ids.count(1), start + len(ids) - 1)
         start += len(ids)
     files = spark.read.format("binaryFile").load(folder)
     word = tok.encode("word", add_special_tokens=False).ids[0]
