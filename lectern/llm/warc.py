@@ -7,7 +7,8 @@ or repeated run gives the same records.
 
 Defined results: null HTML counts as an empty payload, and gives two records with an empty text; a null URI or date leaves its
 header out; a null id is written as "null"; repeated pages give repeated records with the same ids; extra columns are
-ignored. Texts are whole; bytes that aren't UTF-8 (nor the declared charset) become replacement characters.
+ignored. Chunked transfers and gzip or deflate codings are undone for text and links; digests are of the stored payload. Texts are
+whole; bytes that aren't UTF-8 (nor the declared charset) become replacement characters.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from datetime import UTC, datetime
 from email.parser import BytesParser
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import map_batches, table
 
+PIECE = 1 << 20
 NAMESPACE = uuid.NAMESPACE_URL
 CRAWLED = "2024-01-01T00:00:00Z"
 RESPONSE = "page_id {key}, record_id string, target_uri string, date string, http_headers string, payload binary"
@@ -56,8 +59,40 @@ def record_id(name: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, name)}>"
 
 
+def _unchunked(data: bytes) -> bytes:
+    """The body of a chunked transfer; as it is if its first chunk isn't one, and up to the first that is broken."""
+    out, at = [], 0
+    while (line := data.find(b"\r\n", at)) >= 0:
+        size = data[at:line].split(b";")[0].strip()
+        if not re.fullmatch(rb"[0-9A-Fa-f]{1,8}", size):
+            break
+        n = int(size, 16)
+        if not n:
+            return b"".join(out)
+        out.append(data[line + 2 : line + 2 + n])
+        at = line + 4 + n
+    return b"".join(out) or data
+
+
+def entity(payload: bytes, headers: str) -> bytes:
+    """What a payload stands for: without chunks and without compression, if its headers name these and they can be undone."""
+    named = {k.strip().lower(): v.strip().lower() for k, _, v in (h.partition(":") for h in headers.splitlines())}
+    if "chunked" in named.get("transfer-encoding", ""):
+        payload = _unchunked(payload)
+    for coding in reversed([c.strip() for c in named.get("content-encoding", "").split(",")]):
+        for bits in {"gzip": (31,), "x-gzip": (31,), "deflate": (15, -15)}.get(coding, ()):
+            stream = zlib.decompressobj(bits)
+            try:
+                payload = stream.decompress(payload)
+                break
+            except zlib.error:
+                continue
+    return payload
+
+
 def decode_payload(payload: bytes, headers: str) -> str:
     """By the charset of the headers or the page, else UTF-8."""
+    payload = entity(payload, headers)
     found = CHARSET.search(headers.encode()) or CHARSET.search(payload, 0, 2048)
     try:
         return payload.decode(found[1].decode() if found else "utf-8", "replace")
@@ -133,10 +168,11 @@ def derive(responses: DataFrame) -> DataFrame:
 
 
 def serialize(record: dict) -> bytes:
-    """A derived record as WARC/1.1 bytes."""
+    """A derived record as WARC/1.1 bytes. Line ends and other control characters of a header's value are percent-encoded."""
+    plain = lambda v: re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", str(v))
     data = record["block"].encode()
     head = [("WARC-Type", record["record_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Refers-To", record["refers_to"]), ("WARC-Target-URI", record["target_uri"]), ("WARC-Date", record["date"] or datetime(1970, 1, 1, tzinfo=UTC).strftime("%Y-%m-%dT%H:%M:%SZ")), ("WARC-Block-Digest", record["block_digest"]), ("WARC-Source-Payload-Digest", record["source_payload_digest"]), ("Content-Type", record["content_type"]), ("Content-Length", len(data))]
-    return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head if v is not None).encode() + b"\r\n" + data + b"\r\n\r\n"
+    return b"WARC/1.1\r\n" + "".join(f"{k}: {plain(v)}\r\n" for k, v in head if v is not None).encode() + b"\r\n" + data + b"\r\n\r\n"
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
@@ -158,34 +194,81 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
     return records.mapInArrow(run, "path string, records long")
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record of a WARC file, gzipped or not."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+def _expanded(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file, gzipped member by member or not, a piece at a time; a broken member ends them."""
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
     at = 0
-    while (at := data.find(b"WARC/", at)) >= 0:
-        line, head = data.find(b"\r\n", at), data.find(b"\r\n\r\n", at)
-        if line < 0 or head < 0:
-            return
-        fields = {k.lower(): v.strip() for k, v in BytesParser(policy=compat32).parsebytes(data[line + 2 : head + 4], headersonly=True).items()}
-        n = int(fields.get("content-length", "0"))
-        yield fields, data[head + 4 : head + 4 + n]
-        at = head + 4 + n
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        while at < len(data) and not member.eof:
+            piece = data[at : at + PIECE]
+            try:
+                out = member.decompress(piece)
+            except zlib.error:
+                return
+            at += len(piece) - len(member.unused_data)
+            if out:
+                yield out
+
+
+def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record of a WARC file, gzipped or not; only one record is held at a time.
+
+    A record starts where the one before ends; if none does, at the next line that starts like one. A cut-off record is the last,
+    with what there is of it.
+    """
+    held, pieces = bytearray(), _expanded(data)
+
+    def more() -> bool:
+        held.extend(piece := next(pieces, b""))
+        return bool(piece)
+
+    while True:
+        while held[:2] == b"\r\n":
+            del held[:2]
+        if len(held) < 5 and more():
+            continue
+        if not held.startswith(b"WARC/"):
+            at = held.find(b"\nWARC/")
+            del held[: at + 1 if at >= 0 else max(0, len(held) - 5)]
+            if at < 0 and not more():
+                return
+            continue
+        while (head := held.find(b"\r\n\r\n")) < 0:
+            if not more():
+                return
+        line = held.find(b"\r\n") + 2
+        fields = {k.lower(): str(v).strip() for k, v in BytesParser(policy=compat32).parsebytes(bytes(held[line : head + 4]), headersonly=True).items()}
+        length = fields.get("content-length", "")
+        end = head + 4 + (int(length) if length.isdecimal() else 0)
+        while len(held) < end and more():
+            pass
+        yield fields, bytes(held[head + 4 : end])
+        del held[:end]
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """The response records of WARC files, as ``derive`` takes them; ``page_id`` is the record id."""
+    names = ["page_id", "record_id", "target_uri", "date", "http_headers", "payload"]
+
+    def rows_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({n: pa.array(c, pa.binary() if n == "payload" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
 
     def each(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for content in batch.column(0):
-            rows = []
+            rows, size = [], 0
             for fields, block in parse(content.as_py()):
                 if fields.get("warc-type") == "response":
                     head, _, payload = block.partition(b"\r\n\r\n")
                     rows.append((fields.get("warc-record-id"), fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), head.decode("latin-1"), payload))
+                    size += len(payload)
+                if size >= PIECE * 16:
+                    yield rows_of(rows)
+                    rows, size = [], 0
             if rows:
-                names = ["page_id", "record_id", "target_uri", "date", "http_headers", "payload"]
-                yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.binary() if n == "payload" else pa.string()) for n, c in zip(names, zip(*rows, strict=True), strict=True)})
+                yield rows_of(rows)
 
     return map_batches(spark.read.format("binaryFile").load(path).select("content"), each, RESPONSE.format(key="string"))
 

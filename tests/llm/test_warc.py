@@ -1,5 +1,7 @@
 import base64
+import gzip
 import hashlib
+import zlib
 from html.parser import HTMLParser
 
 from lectern.llm import common, warc
@@ -69,3 +71,26 @@ def test_reads_responses_of_files(spark, tmp_path):
     found = warc.derive(warc.read_responses(spark, f"file://{tmp_path}")).collect()
     assert {(r.record_type, r.refers_to, r.date) for r in found} == {("metadata", "<urn:uuid:1>", "2020-01-01T00:00:00Z"), ("conversion", "<urn:uuid:1>", "2020-01-01T00:00:00Z")}
     assert [r.block for r in found if r.record_type == "conversion"] == ["café"]
+
+
+def test_codings_are_undone():
+    page, head = b"<p>hello</p>" * 50, "HTTP/1.1 200 OK\r\n"
+    chunked = b"".join(b"%x;x=1\r\n%s\r\n" % (len(page[i : i + 77]), page[i : i + 77]) for i in range(0, len(page), 77)) + b"0\r\n\r\n"
+    assert warc.entity(chunked, head + "Transfer-Encoding: Chunked\r\n") == page
+    raw = zlib.compressobj(wbits=-15)
+    for coding, data in (("gzip", gzip.compress(page)), ("deflate", zlib.compress(page)), ("deflate", raw.compress(page) + raw.flush()), ("deflate, gzip", gzip.compress(zlib.compress(page))), ("br", page), ("gzip", page)):
+        assert warc.entity(data, f"{head}Content-Encoding: {coding}\r\n") == page
+    assert warc.entity(gzip.compress(page)[:-9], head + "Content-Encoding: gzip") in page  # cut off
+    assert warc.entity(page, head + "Transfer-Encoding: chunked") == page
+
+
+def test_headers_can_not_be_injected_and_broken_files_are_read_as_far_as_they_go():
+    record = {"record_type": "metadata", "record_id": "<urn:uuid:1>", "refers_to": "<urn:uuid:2>", "target_uri": "http://h/\r\nWARC-Type: response\r\n\r\nx", "date": None, "block_digest": "d", "source_payload_digest": "e", "content_type": "text/plain", "block": "a\r\n\r\nWARC/1.1 b"}
+    data = warc.serialize(record)
+    (fields, block), = warc.parse(data)
+    assert fields["warc-type"] == "metadata" and fields["warc-target-uri"] == "http://h/%0D%0AWARC-Type: response%0D%0A%0D%0Ax" and block == record["block"].encode()
+    members = b"".join(gzip.compress(data) for _ in range(3))
+    assert len(list(warc.parse(members))) == 3 and len(list(warc.parse(members[:-20]))) >= 2 and len(list(warc.parse(b"junk\r\n" + data + b"junk\n" + data))) == 2
+    assert list(warc.parse(b"")) == [] and list(warc.parse(b"WARC/1.0\r\n")) == [] and list(warc.parse(b"x" * 3_000_000)) == []
+    cut = data[: data.index(b"\r\n\r\n") + 5]
+    assert [b for _, b in warc.parse(cut)] == [b"a"]
