@@ -7,8 +7,8 @@ It is fitted on the driver, on the statistics of at most ``SAMPLE_DOCS`` labelle
 ids (a documented bound; only their statistics reach the driver). Every document is scored on its whole text.
 
 Defined results: null counts as empty, and gets a score like any text; without labels of both kinds the score is the share of
-label 1, or 0.5 without labels; null ids are scored but never learned from; rows repeated or labelled twice count each;
-extra columns are ignored.
+label 1, or 0.5 without labels; null ids are scored but never learned from; rows repeated with one id are scored each, and
+count once for a label (with the least of their statistics); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,9 +130,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         found = [statistics(t.as_py() or b"") for t in batch.column(2).cast(pa.binary())]
         yield pa.RecordBatch.from_pydict({"id": batch.column(0).cast(pa.string()), "label": batch.column(1), "x": pa.array(found, pa.list_(pa.float64()))})
 
-    sample = map_batches(rows, each, "id string, label double, x array<double>").toPandas()
-    sample = sample.assign(k=[tuple(v) for v in sample["x"]]).sort_values(["id", "label", "k"])
-    x = np.array(sample["k"].tolist(), float).reshape(-1, len(FEATURES))
+    # One row for an id and label, however often it is repeated: so the bound holds for what the driver gets.
+    sample = map_batches(rows, each, "id string, label double, x array<double>").groupBy("id", "label").agg(F.min("x").alias("x"))
+    sample = sample.toPandas().sort_values(["id", "label"])
+    x = np.array([list(v) for v in sample["x"]], float).reshape(-1, len(FEATURES))
     return fit(x, sample["label"].to_numpy(float))
 
 
