@@ -1,7 +1,8 @@
 """Substring dedup: suffix automata of reference shards, streamed documents, maximal spans removed.
 
-A word goes if a window of ``window`` consecutive words that covers it also starts in a document with a smaller id. Sending
-every automaton to every document would cost shards times documents, so both are routed:
+A word goes if a window of ``window`` consecutive words that covers it also starts in a document with a smaller id. Broadcasting
+every automaton to every document costs shards times documents, the square of the input (the README has it measured), so both
+are routed:
 
 1. Documents are dealt to batches (a bounded number of bytes each) once; later steps reuse that exchange.
 2. Each window is represented by the smallest hash among the short grams inside it (its anchor), so equal windows have equal
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import struct
 from collections.abc import Iterable
 
@@ -39,9 +41,10 @@ from pyspark.sql import functions as F
 from lectern.llm.common import table
 
 WINDOW = 13
-BATCH_BYTES = 8 << 20
+# Batches and buckets grow with the root of the input, from some hundred GB on, so that what one sends to another stays worth a row.
+BATCH_BYTES, MOST_BATCH_BYTES = 8 << 20, 256 << 20
 BUCKET_BITS = 8
-BUCKET_WINDOWS = 4_000_000
+BUCKET_WINDOWS, MOST_BUCKET_WINDOWS = 4_000_000, 64_000_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 PACKED = "bucket int, batch int, payload binary"
 
@@ -410,8 +413,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Ids are integers.
     """
     size = df.select(F.sum(F.octet_length(text_col))).first()[0] or 0
-    batches = max(48, -(-size // BATCH_BYTES))
-    bits = max(BUCKET_BITS, (size // 6 // BUCKET_WINDOWS).bit_length())
+    batches = max(48, -(-size // max(BATCH_BYTES, min(MOST_BATCH_BYTES, 20 * math.isqrt(size)))))
+    bits = max(BUCKET_BITS, (size // 6 // max(BUCKET_WINDOWS, min(MOST_BUCKET_WINDOWS, 8 * math.isqrt(size // 6)))).bit_length())
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("key"))
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(batches)).cast("int"))
     by = rows.groupBy("batch")
