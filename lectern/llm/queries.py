@@ -17,6 +17,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_substring_automata": substring.ORACLE_SQL,
+    "op5_secret_scan": secrets.ORACLE_SQL,
     "op10_template_decontamination": decontaminate.ORACLE_SQL,
     "op9_exact_dedup": exact_dedup.ORACLE_SQL,
 }

@@ -296,3 +296,31 @@ def digest(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
+def _sql_spans(kind: str, pattern: str, keep: str) -> str:
+    """(doc_id, start, end, kind) of a pattern's matches: what stands between them says where they are. ``m`` is a match."""
+    return f"""
+SELECT doc_id, s AS start_, s + length(m) AS end_, '{kind}' AS kind, {KINDS.index(kind)} AS rank FROM (
+  SELECT doc_id, unnest(found) AS m, unnest(list_transform(range(1, len(found) + 1), lambda i: CAST(list_sum(list_transform(between[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1 : i - 1], lambda x: length(x))), 0) AS BIGINT))) AS s
+  FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS between FROM texts)
+) WHERE {keep}"""
+
+
+_SQL_NAME = "(?:" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in n) for n in ("password", "passwd", "secret", "token", "api_?key")) + ")"
+_SQL_LEAD = _SQL_NAME + """["'']?\\x20*[:=]\\x20*["'']?"""
+
+#: The base kinds only. On the stored tables, which hold no others (as the tests check), these are all spans.
+ORACLE_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+spans AS ({_sql_spans("assign", _SQL_LEAD + "[A-Za-z0-9+/_.=-]+", f"length(regexp_replace(m, '^{_SQL_LEAD}', '')) >= 6")}
+  UNION ALL {_sql_spans("access", "AKIA[A-Z0-9]+", "length(m) >= 20")}
+  UNION ALL {_sql_spans("hex", "[0-9a-f]{24,}", "true")}),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start_ || ':' || end_, ',' ORDER BY start_, rank) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
