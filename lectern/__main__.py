@@ -6,6 +6,7 @@ Exit codes: 0 done (also without hits), 1 missing input or column, unknown lemma
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.errors import AnalysisException
@@ -47,11 +48,22 @@ def _sentences(df: DataFrame, text: str, doc_id: str = "doc_id") -> DataFrame:
     return rows.select(F.col(doc_id).cast("string").alias("doc_id"), "sentence_idx", F.col("sentence").alias("sentence_text"))
 
 
+def _hook(name: str):
+    """The function that ``module:function`` names."""
+    module, _, function = name.partition(":")
+    try:
+        return getattr(importlib.import_module(module), function)
+    except (ImportError, AttributeError, ValueError) as e:
+        raise Refused(f"no function {name!r}: {e}") from e
+
+
 def _written(rows: DataFrame, args, *names: str | None) -> None:
-    """Search hits as a CSV named after the search; none, no file."""
+    """Search hits as a CSV named after the search, or to a remote sheet's tab; none, no file."""
     rows = rows.withColumnRenamed("display_id", "doc_id").cache()
     if rows.isEmpty():
         print("no sentence found")
+    elif args.to_sheet:
+        sinks.write_sheet(rows, _hook(args.to_sheet))
     else:
         sinks.write_csv(rows, f"{args.output}/{sinks.safe_name(*names)}.csv")
 
@@ -156,7 +168,8 @@ def run_search(spark, args):
 
 def run_categories(spark, args):
     df, text = _rows(spark, args, "testimony_body", "testimony")
-    terms = readers.category_terms(readers.read_sheet(spark, args.sheet))
+    sheet = readers.fetch_sheet(spark, _hook(args.from_sheet)) if args.from_sheet else readers.read_sheet(spark, args.sheet)
+    terms = readers.category_terms(sheet)
     names = [r.category for r in terms.select("category").distinct().orderBy("category").collect()]
     if args.category not in names:
         raise Refused(f"no category {args.category!r}; there are: {', '.join(names)}")
@@ -171,7 +184,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("stage", choices=STAGES)
     p.add_argument("input")
     p.add_argument("output")
-    for name in ("gender", "stopwords", "lemma", "phrase", "sheet", "category", "text-column", "checkpoint", "exclude"):
+    for name in ("gender", "stopwords", "lemma", "phrase", "sheet", "category", "text-column", "checkpoint", "exclude", "from-sheet", "to-sheet"):
         p.add_argument(f"--{name}")
     p.add_argument("--voice", choices=verbs.VOICES)
     p.add_argument("--polarity", choices=verbs.POLARITIES)

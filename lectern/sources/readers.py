@@ -74,6 +74,13 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("row", F.monotonically_increasing_id())
 
 
+def fetch_sheet(spark: SparkSession, fetch: Callable[[], list[list[str | None]]]) -> DataFrame:
+    """A remote sheet, as ``fetch`` gives it: rows of cells, header first; short rows are filled up. Sheets are made by hand, so small."""
+    names, *rows = fetch()
+    cells = [(*[(c or None) for c in [*r, *[None] * len(names)][: len(names)]], i) for i, r in enumerate(rows)]
+    return spark.createDataFrame(cells, ", ".join(f"`{n}` string" for n in names) + ", row long")
+
+
 def category_terms(sheet: DataFrame, order: str = "row") -> DataFrame:
     """Long form of a wide sheet: ``category, term, position``. Cells hold terms between commas; of terms that differ only in case the first stays."""
     columns = [c for c in sheet.columns if c != order]

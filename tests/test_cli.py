@@ -43,6 +43,21 @@ def test_stages_from_texts_to_tables(spark, tmp_path):
     (tmp_path / "sheet.csv").write_text("A\nwinter\n")
     assert main(["categories", table, f"{tmp_path}/c", "--sheet", f"{tmp_path}/sheet.csv", "--category", "A"], spark) == 0
     assert main(["categories", table, f"{tmp_path}/c", "--sheet", f"{tmp_path}/sheet.csv", "--category", "B"], spark) == 1
+    assert main(["categories", table, f"{tmp_path}/c2", "--from-sheet", f"{__name__}:sheet_rows", "--to-sheet", f"{__name__}:TAB.extend", "--category", "A"], spark) == 1
+    assert main(["categories", table, f"{tmp_path}/c2", "--from-sheet", f"{__name__}:sheet_rows", "--to-sheet", f"{__name__}:replace_tab", "--category", "A"], spark) == 0
+    assert TAB[0] == ["doc_id", "sentence_idx", "matched_word", "sentence"] and {r[2] for r in TAB[1:]} == {"winter", "snow"} and len(TAB) == 25
+    assert main(["categories", table, f"{tmp_path}/c", "--from-sheet", "nothing:none", "--category", "A"], spark) == 1
+
+
+TAB: list = []
+
+
+def sheet_rows():
+    return [["A", "B"], ["winter", "x"], ["snow"]]
+
+
+def replace_tab(rows):
+    TAB[:] = rows
 
 
 def pdf(*pages):
