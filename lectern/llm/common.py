@@ -26,11 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where that is unset, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Unset, it is a temporary one in local mode, as in tests; a cluster has none, and refuses."""
     global _own_dir
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="lectern-")
     return _own_dir
@@ -49,13 +51,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*frames: DataFrame) -> None:
     """Delete what ``materialize`` wrote, once nothing reads it any more."""
-    path = getattr(df, "_lectern_path", None)
-    if path:
-        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(conf).delete(target, True)
+    for df in frames:
+        path = getattr(df, "_lectern_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -76,8 +79,18 @@ def fold_ascii_py(text: str | None) -> str:
 _FOLD = str.maketrans(UPPER, LOWER)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of at most ``BATCH_ROWS`` rows, which bounds what a worker holds; empty ones are skipped."""
+    """``mapInArrow`` over batches of at most ``BATCH_ROWS`` rows, which bounds what a worker holds; empty ones are skipped.
+
+    The session's own limit is lowered to that: the batches of 10,000 texts that Spark makes by default, outside the heap,
+    are kept by its allocator.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        conf.set(ARROW_ROWS, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,3 +104,11 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``docs`` without the rows whose id is in ``ids`` (one column). Null ids stay. All columns are kept as they are."""
     drop = materialize(ids.toDF("__drop_id").where("__drop_id IS NOT NULL").distinct(), "drop")
     return docs.join(small(drop), docs[id_col] == drop["__drop_id"], "left_anti")
+
+
+def without_texts(docs: DataFrame, gone: DataFrame, id_col: str, key: Column) -> DataFrame:
+    """``docs`` without the rows that ``gone`` (id, key) names; null ids are equal. ``key``, made from a row's text, is worked
+    out only where the id is in ``gone``, so that other rows of a repeated id stay."""
+    drop = small(materialize(gone.toDF("__drop_id", "__drop_key").distinct(), "drop"))
+    # Not a bare equality, which would make the key one of the join.
+    return docs.join(drop, docs[id_col].eqNullSafe(drop["__drop_id"]) & F.coalesce(key == F.col("__drop_key"), F.lit(False)), "left_anti")

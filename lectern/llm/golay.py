@@ -14,8 +14,8 @@ A 64-bit fingerprint is cut into segments of 22, 21 and 21 bits (with leading ze
 
 So they share a key; keys shared by chance are told apart by comparing the fingerprints.
 
-``loose_keys`` are for pairs that differ in more bits, where no key is certain: one of four blocks of 16 bits is equal, and
-one of the two 23-bit segments of the rest has at most 2 errors (28 bits a key, some 40 keys).
+``loose_keys`` are for proposals among pairs that differ in more bits, where no key is certain: one of four blocks of 16 bits is
+equal, and one of the two 23-bit segments of the rest has at most 2 errors (28 bits a key, some 40 keys).
 """
 
 from __future__ import annotations
