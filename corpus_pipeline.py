@@ -3,6 +3,11 @@
 Quality trees drop rejected documents; exact dedup keeps the largest id of equal texts; SimHash near-dedup keeps the smallest
 id of each group of shingle similarity 0.8; documents that a benchmark item contaminates go; the rest is encoded. Each
 stage is written as Parquet to the shared folder and reread as the next one's input, so a stage that is lost is redone alone.
+
+Defined results: null and empty texts count as empty, are scored like any, and all but one go as copies of each other; rows that
+repeat an id are judged each by its own text, but go together if a benchmark item is in one of them; rows without an id stay
+unless an earlier rule drops them; other columns of ``documents``, whatever their names, are kept by all stages but the last;
+empty tables give an empty table.
 """
 
 from __future__ import annotations
