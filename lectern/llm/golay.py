@@ -16,6 +16,8 @@ So they share a key; keys shared by chance are told apart by comparing the finge
 
 ``loose_keys`` are for proposals among pairs that differ in more bits, where no key is certain: one of four blocks of 16 bits is
 equal, and one of the two 23-bit segments of the rest has at most 2 errors (28 bits a key, some 40 keys).
+
+Defined results: no fingerprints give no keys; equal fingerprints give equal keys each, none twice for one fingerprint and table.
 """
 
 from __future__ import annotations

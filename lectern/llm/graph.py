@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star contraction."""
+"""Connected components by alternating large-star and small-star contraction.
+
+Defined results: links with a null end are left out, as are links of a node to itself; repeated links and both directions of one
+count once; an empty table gives an empty table. Columns are taken by place, so their names may clash with any other.
+"""
 
 from __future__ import annotations
 

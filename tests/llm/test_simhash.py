@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from lectern.llm import golay, simhash
+from lectern.llm import golay, graph, simhash
 
 SCHEMA = "doc_id long, text string, f0 string, component_id int"
 
@@ -137,3 +137,10 @@ def test_rows_of_a_repeated_id_and_without_one(spark):
     kept = sorted((r.doc_id or 0, r.text) for r in simhash.drop_near_copies(df).collect())
     assert kept == [(0, "alone"), (3, near[0]), (5, "another text of five words")]
     assert simhash.drop_near_copies(df.limit(0)).collect() == []
+
+
+def test_components_of_odd_links(spark):
+    links = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 3), (None, 4), (5, None), (7, 6), (7, 6)], "node long, root long")
+    assert sorted(map(tuple, graph.components(links).collect())) == [(1, 1), (2, 1), (3, 1), (6, 6), (7, 6)]
+    assert graph.components(links.limit(0)).collect() == []
+    assert all(len(x) == 0 for f in (golay.keys, golay.loose_keys) for x in f(np.zeros(0, np.uint64)))
