@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import materialize, shared_path, small, table
 
 MAGIC, VERSION = b"LWMX", 2
-BLOCK = 1 << 16
+BLOCK = 1 << 18
 SHARD_TOKENS = 1 << 21
 CACHE_WORDS = 500_000
 END_ID = 1
