@@ -82,15 +82,16 @@ _FOLD = str.maketrans(UPPER, LOWER)
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def limit_batches(spark: SparkSession) -> None:
+    """Lower the session's own limit to ``BATCH_ROWS``: the batches of 10,000 texts that Spark makes by default, outside the heap,
+    are kept by its allocator."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(ARROW_ROWS, str(BATCH_ROWS))
+
+
 def map_batches(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` over batches of at most ``BATCH_ROWS`` rows, which bounds what a worker holds; empty ones are skipped.
-
-    The session's own limit is lowered to that: the batches of 10,000 texts that Spark makes by default, outside the heap,
-    are kept by its allocator.
-    """
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(ARROW_ROWS)) <= BATCH_ROWS:
-        conf.set(ARROW_ROWS, str(BATCH_ROWS))
+    """``mapInArrow`` over batches of at most ``BATCH_ROWS`` rows, which bounds what a worker holds; empty ones are skipped."""
+    limit_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

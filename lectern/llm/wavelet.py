@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import struct
 import uuid
 import zlib
@@ -29,13 +30,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import materialize, shared_path, small, table
+from lectern.llm.common import BATCH_ROWS, limit_batches, materialize, shared_path, small, table
 
 MAGIC, VERSION = b"LWMX", 2
 BLOCK = 1 << 18
@@ -100,6 +102,10 @@ class Plane:
         return out
 
 
+def _least_type(width: int) -> type:
+    return np.uint16 if width <= 16 else np.uint32
+
+
 class WaveletMatrix:
     """Rank, select and access over a sequence of non-negative integers. Each loads only the blocks that it needs."""
 
@@ -110,13 +116,14 @@ class WaveletMatrix:
     def build(cls, values: np.ndarray, width: int | None = None) -> WaveletMatrix:
         values = np.asarray(values, np.uint32)
         width = max(1, int(values.max(initial=0)).bit_length()) if width is None else width
+        values = values.astype(_least_type(width), copy=False)
         planes, zeros = [], []
         for level in range(width - 1, -1, -1):
-            bits = (values >> np.uint32(level)) & np.uint32(1) == 1
+            bits = values & values.dtype.type(1 << level) != 0
             planes.append(Plane.of(bits))
-            low = values[~bits]
+            low = values.compress(~bits)  # several times as fast as an index of booleans
             zeros.append(len(low))
-            values = np.concatenate([low, values[bits]])
+            values = np.concatenate([low, values.compress(bits)])
         return cls(planes, zeros, len(values))
 
     def access(self, at: np.ndarray) -> np.ndarray:
@@ -131,14 +138,15 @@ class WaveletMatrix:
 
     def values(self) -> np.ndarray:
         """All values: the planes undone from the last one up, which is access at every position at once."""
-        value = np.zeros(self.n, np.uint32)
+        value = np.zeros(self.n, _least_type(len(self.zeros)))
         for i in range(len(self.zeros) - 1, -1, -1):
             bits = np.unpackbits(np.frombuffer(self.planes[i].raw(), np.uint8), count=self.n, bitorder="little").view(bool)
+            value[self.zeros[i] :] |= value.dtype.type(1 << (len(self.zeros) - 1 - i))
             above = np.empty_like(value)
-            above[~bits] = value[: self.zeros[i]]
-            above[bits] = value[self.zeros[i] :] | np.uint32(1 << (len(self.zeros) - 1 - i))
+            above[np.flatnonzero(~bits)] = value[: self.zeros[i]]
+            above[np.flatnonzero(bits)] = value[self.zeros[i] :]
             value = above
-        return value
+        return value.astype(np.uint32)
 
     def _places(self, symbol: int, at: np.ndarray) -> np.ndarray:
         """Where positions come to stand below the last plane, on the path of ``symbol``."""
@@ -214,12 +222,17 @@ class Encoder:
     """Ids of whole texts, with the library's tokenizer on each distinct piece.
 
     Texts are cut at ASCII white space, where this kind of vocabulary always breaks, and lower-cased before (it does so itself)
-    unless they may hold a special token. Words of ASCII letters are encoded many at a time, with a sign between that is a
-    word of its own; one mark after a word is a word of its own too. Pieces are kept in two generations of at most
-    ``CACHE_WORDS``, so frequent ones stay known.
+    unless they may hold a special token. A piece of Latin letters with ASCII marks after them is two words. Words of letters are
+    encoded many at a time by the same model without the normalizer and the pattern, which do nothing to them; a word ends
+    where an id has the suffix of word ends. All else, and all of a vocabulary without such a suffix, is encoded alone. Pieces
+    are kept in two generations of at most ``CACHE_WORDS``, so frequent ones stay known.
     """
 
-    SIGN, BLOCK = "\x01", 500
+    BLOCK = 500
+    #: The bytes of ASCII letters and of U+00C0 to U+017F; of the latter, those that are signs, or one that becomes two characters.
+    LETTERS = bytes([*range(65, 91), *range(97, 123), 0xC3, 0xC4, 0xC5, *range(0x80, 0xC0)])
+    NO_LETTERS = [c.encode() for c in "\u00d7\u00f7\u0130"]
+    MARKS = string.punctuation.encode()
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -230,57 +243,78 @@ class Encoder:
         self.tokenizer.no_padding()
         self.known: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
-        sign = self._ids([self.SIGN])[0]
-        self.sign = int(sign[0]) if len(sign) == 1 else None
-
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        parts = json.loads(spec)
+        suffix = parts["model"].get("end_of_word_suffix")
+        self.plain = None
+        if suffix:
+            split = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+            self.plain = Tokenizer.from_str(json.dumps(parts | {"added_tokens": [], "normalizer": None, "pre_tokenizer": split, "post_processor": None, "truncation": None, "padding": None}))
+            vocabulary = parts["model"]["vocab"]
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _latin(self, word: bytes) -> bool:
+        return not word.translate(None, self.LETTERS) and not any(c in word for c in self.NO_LETTERS)
+
+    def _learn_alone(self, pieces: list[bytes]) -> None:
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)
+        self.known.update((p, np.array(e.ids, "<u4").tobytes()) for p, e in zip(pieces, found, strict=True))
 
     def _learn_words(self, words: list[bytes]) -> None:
-        """Words of ASCII letters."""
-        blocks = [words[i : i + self.BLOCK] for i in range(0, len(words), self.BLOCK)]
-        texts = [f" {self.SIGN} ".join(w.decode() for w in x) for x in blocks]
-        for block, ids in zip(blocks, self._ids(texts), strict=True):
-            edges = np.nonzero(ids == self.sign)[0]
-            raw, starts, ends = ids.tobytes(), [0, *((edges + 1) * 4).tolist()], [*(edges * 4).tolist(), len(ids) * 4]
-            self.known.update((w, raw[i:j]) for w, i, j in zip(block, starts, ends, strict=True))
+        """Words of letters."""
+        for i in range(0, len(words), self.BLOCK):
+            block = words[i : i + self.BLOCK]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(block).decode().lower()], add_special_tokens=False)[0].ids, "<u4")
+            ends = ((np.flatnonzero(self.last[ids]) + 1) * 4).tolist()
+            if len(ends) == len(block):
+                raw = ids.tobytes()
+                self.known.update((w, raw[i:j]) for w, i, j in zip(block, [0, *ends], ends))  # noqa: B905
+            else:  # a byte that the vocabulary lacks
+                self._learn_alone(block)
 
     def _learn(self, pieces: list[bytes]) -> None:
         known, old = self.known, self.old
         if len(known) + len(pieces) > CACHE_WORDS:
             self.old, self.known = old, known = known, {}
-        words, marked, others = set(), [], []
+        words, others, marked = set(), set(), []
         for p in pieces:
             if (ids := old.get(p)) is not None:
                 known[p] = ids
-            elif self.sign is not None and p.isalpha():
+                continue
+            word = p.rstrip(self.MARKS)
+            if self.plain is None or not word or not (word.isalpha() or self._latin(word)):
+                others.add(p)
+            elif len(word) == len(p):
                 words.add(p)
-            elif self.sign is not None and p[-1] in b".,;:!?" and p[:-1].isalpha():
-                marked.append(p)
-                if (ids := known.get(p[:-1]) or old.get(p[:-1])) is not None:
-                    known[p[:-1]] = ids
-                else:
-                    words.add(p[:-1])
             else:
-                others.append(p)
+                mark = p[len(word) :]
+                marked.append((p, word, mark))
+                for part, new in ((word, words), (mark, others)):
+                    if part not in known:
+                        if (ids := old.get(part)) is not None:
+                            known[part] = ids
+                        else:
+                            new.add(part)
         self._learn_words(list(words))
-        marks = {p[-1:] for p in marked} - known.keys()
-        others += marks
-        for p, ids in zip(others, self._ids([p.decode() for p in others]), strict=True):
-            known[p] = ids.tobytes()
-        for p in marked:
-            known[p] = known[p[:-1]] + known[p[-1:]]
-
-    def encode_batch(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        pieces = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        found = [list(map(self.known.get, x)) for x in pieces]
-        new = {p for x, ids in zip(pieces, found, strict=True) if None in ids for p, i in zip(x, ids, strict=True) if i is None}
+        self._learn_alone(list(others))
+        known.update((p, known[word] + known[mark]) for p, word, mark in marked)
+
+    def encode_batch(self, texts: list[bytes]) -> list[memoryview]:
+        """The ids of each text as little-endian unsigned 32-bit integers. Each distinct piece is looked up once."""
+        lists = pc.ascii_split_whitespace(pa.array([t if b"<|" in t else t.lower() for t in texts], pa.large_string()))
+        found = lists.flatten().dictionary_encode()
+        one = pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary.cast(pa.large_binary()))
+        pieces = pc.binary_join(one, pa.scalar(b" ", pa.large_binary()))[0].as_py().split(b" ")
+        ids = list(map(self.known.get, pieces))
+        new = [p for p, i in zip(pieces, ids, strict=True) if i is None]
         if new:
-            self._learn(list(new))
-        known = self.known
-        for x, ids in zip(pieces, found, strict=True):
-            yield b"".join(ids if None not in ids else [known[p] if i is None else i for p, i in zip(x, ids, strict=True)])
+            self._learn(new)
+            ids = [self.known[p] if i is None else i for p, i in zip(pieces, ids, strict=True)]
+        tokens = pa.array(ids, pa.large_binary()).take(found.indices)
+        _, offsets, data = tokens.buffers()
+        ends = np.frombuffer(offsets, np.int64)[lists.offsets.to_numpy()].tolist()
+        raw = memoryview(data or b"")
+        return [raw[i:j] for i, j in zip(ends[:-1], ends[1:], strict=True)]
 
 
 _encoder: tuple[str, Encoder] | None = None
@@ -312,7 +346,7 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(spec.value)
         part, files = TaskContext.get().partitionId(), 0
-        end = struct.pack("<I", end_id)
+        end = np.array([end_id], "<u4")
         ids: list[int | None] = []
         counts: list[int] = []
         held: list[np.ndarray] = []
@@ -328,19 +362,20 @@ def write_tokens(df: DataFrame, folder: str, vocabulary: str, id_col: str = "doc
             return row
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                rows = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                rows = batch.slice(at, BATCH_ROWS)
                 texts = [t or b"" for t in rows.column(1).cast(pa.binary()).to_pylist()]
                 for doc_id, found in zip(rows.column(0).to_pylist(), encoder.encode_batch(texts), strict=True):
                     ids.append(doc_id)
-                    held.append(np.frombuffer(found + end, "<u4"))
-                    counts.append(len(held[-1]))
+                    held += (np.frombuffer(found, "<u4"), end)
+                    counts.append(len(held[-2]) + 1)
                     total += counts[-1]
                     if total >= shard_tokens:
                         yield flush()
         if ids:
             yield flush()
 
+    limit_batches(df.sparkSession)
     target = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).mkdirs(target)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

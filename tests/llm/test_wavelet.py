@@ -63,3 +63,37 @@ def test_empty_table(spark):
     folder = common.shared_path(spark, "test")
     index = wavelet.write_tokens(spark.createDataFrame([], "doc_id long, text string"), folder, wavelet.default_vocabulary())
     assert index.collect() == [] and wavelet.read_tokens(index, folder).collect() == []
+
+
+class Counted:
+    def __init__(self, tokenizer):
+        self.tokenizer, self.texts = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += len(texts)
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def ids_of(encoder, texts):
+    return [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_batch([t.encode() for t in texts])]
+
+
+def test_words_of_latin_letters_are_encoded_many_at_a_time():
+    with open(wavelet.default_vocabulary(), encoding="utf-8") as f:
+        encoder = wavelet.Encoder(f.read())
+    encoder.tokenizer = counted = Counted(encoder.tokenizer)
+    words = [f"{a}é{b}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    got = ids_of(encoder, [" ".join([*words, *[w + "%%" for w in words], *[w + "," for w in words]])])
+    assert counted.texts <= 20
+    assert got == [counted.tokenizer.encode(" ".join([*words, *[w + "%%" for w in words], *[w + "," for w in words]]), add_special_tokens=False).ids]
+
+
+def test_pieces_get_the_library_s_ids():
+    with open(wavelet.default_vocabulary(), encoding="utf-8") as f:
+        spec = f.read()
+    tok, encoder = tokenizers.Tokenizer.from_str(spec), wavelet.Encoder(spec)
+    letters = [chr(i) for i in range(0xC0, 0x180)] + ["a", "Z", "Σ", "é"]
+    r = np.random.default_rng(2)
+    signs = [*letters, *".,;!'_%|<> \t\x1c\x7f\x01019½²×÷́ͅ ΣςÅ中", "'S", "'ll", "<|endoftext|>", "</w>"]
+    texts = [a + m for a in letters for m in ("", ".", "'s", "'", "_", "1", "́", "$$%")] + ["".join(r.choice(signs, r.integers(1, 30))) for _ in range(2000)]
+    assert ids_of(encoder, texts) == [tok.encode(t, add_special_tokens=False).ids for t in texts]
