@@ -58,7 +58,8 @@ def read_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
     """A CSV file with a header and a declared schema; quoted values may hold line ends. ``columns`` prunes the scan."""
-    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')
+    # A declared line end: else the parser takes the first carriage return for one. Values may be as long as they like.
+    df = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', lineSep="\n", maxCharsPerColumn=-1)
     return df.select(*columns) if columns else df
 
 

@@ -17,8 +17,8 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
-    """CSV with a header; ``drop`` leaves out long text columns."""
-    df.drop(*drop).write.mode("overwrite").csv(path, header=True, escape='"')
+    """CSV with a header; ``drop`` leaves out long text columns. White space at the ends of values stays."""
+    df.drop(*drop).write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_texts(df: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "full_text", ending: str = "txt") -> int:

@@ -142,3 +142,10 @@ def test_topics_read_every_document_in_every_pass(spark):
     bow = spark.createDataFrame([(i, ["apple", "pear"] if i % 2 else ["car", "bus"]) for i in range(20)], "doc_id long, tokens array<string>")
     lda = topics.train(bow, 2, topics.TopicSettings(no_above=0.9, passes=3)).lda
     assert (lda.getSubsamplingRate(), lda.getMaxIter()) == (1.0, 3)
+
+
+def test_csv_keeps_odd_values(spark, tmp_path):
+    odd = ["a\r\nb", "a\rb", "x\r", " lead", "trail ", " ", "\t", "\n", "\nx", "\r\n", "\0", "\\", 'a\\"', '"', '""', "a,b", None]  # an empty string reads as null
+    rows = [(i, x) for i, x in enumerate(odd)]
+    sinks.write_csv(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), f"{tmp_path}/odd")
+    assert sorted((r.doc_id, r.text) for r in readers.read_csv(spark, f"{tmp_path}/odd", "doc_id long, text string").collect()) == rows
