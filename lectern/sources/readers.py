@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,12 +25,61 @@ def _stem(name):
     return F.regexp_replace(name, r"\.[^.]*$", "")
 
 
+FILES_MB = 16  # of files that are handed on at a time
+
+
+def _local_or_shared(folder: str):
+    """Arrow's file system of a folder and the path in it; none for patterns, and for stores that only Spark reads."""
+    try:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{os.path.abspath(folder)}")
+        return (fs, root) if not any(c in folder for c in "*?[{") and fs.get_file_info(root).type == pyarrow.fs.FileType.Directory else None
+    except (pa.ArrowException, OSError, ValueError):
+        return None
+
+
+def _files(spark: SparkSession, folder: str, ending: str) -> DataFrame:
+    """``filename, content`` of a folder's files of an ending. One task lists the names and others open the files, so that the
+    driver holds none of them, and the tasks are as many as the cores want, not a few files each."""
+    found = _local_or_shared(folder)
+    if found is None:
+        files = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ending}").load(folder)
+        return files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
+    fs, root = found
+    local = isinstance(fs, pyarrow.fs.LocalFileSystem)
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in batches:
+            every = (e.name for e in os.scandir(root) if e.is_file()) if local else (i.base_name for i in fs.get_file_info(pyarrow.fs.FileSelector(root)) if i.is_file)
+            held = []
+            for name in every:
+                if name.endswith(f".{ending}") and not name.startswith(("_", ".")):  # as Spark's readers
+                    held.append(name)
+                if len(held) == 10_000:
+                    yield pd.DataFrame({"filename": held})
+                    held = []
+            yield pd.DataFrame({"filename": held}, dtype=str)
+
+    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            held, size = [], 0
+            for name in b["filename"]:
+                with fs.open_input_stream(f"{root}/{name}") as f:
+                    held.append((name, f.read()))
+                size += len(held[-1][1])
+                if size > FILES_MB << 20:
+                    yield pd.DataFrame(held, columns=["filename", "content"])
+                    held, size = [], 0
+            if held:
+                yield pd.DataFrame(held, columns=["filename", "content"])
+
+    listed = spark.range(0, 1, 1, 1).mapInPandas(names, "filename string")
+    return listed.repartition(8 * spark.sparkContext.defaultParallelism).mapInPandas(contents, "filename string, content binary")
+
+
 def read_pdfs(spark: SparkSession, folder: str, extract: Callable[[bytes], list[str]] = page_texts) -> DataFrame:
     """One row per ``*.pdf``, in no order: a sort would move all texts, or parse files twice. ``extract`` gives the texts of a
     file's pages; an error becomes a row with ``error`` set. Pages are joined by a blank line.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").load(folder)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -40,7 +92,7 @@ def read_pdfs(spark: SparkSession, folder: str, extract: Callable[[bytes], list[
                     rows.append((name, 0, "", str(e) or type(e).__name__))
             yield pd.DataFrame(rows, columns=["filename", "n_pages", "full_text", "error"])
 
-    rows = named.mapInPandas(run, "filename string, n_pages int, full_text string, error string")
+    rows = _files(spark, folder, "pdf").mapInPandas(run, "filename string, n_pages int, full_text string, error string")
     return as_corpus(rows)
 
 
@@ -52,7 +104,7 @@ def as_corpus(rows: DataFrame) -> DataFrame:
 
 def read_texts(spark: SparkSession, folder: str) -> DataFrame:
     """One row per ``*.txt``: ``doc_id`` (the name without its ending), ``filename``, ``text``; line ends become line feeds."""
-    files = spark.read.option("pathGlobFilter", "*.txt").text(folder, wholetext=True).select("value", F.col("_metadata.file_name").alias("filename"))
+    files = _files(spark, folder, "txt").select("filename", F.col("content").cast("string").alias("value"))
     return files.select(_stem(F.col("filename")).alias("doc_id"), "filename", F.regexp_replace("value", "\r\n?", "\n").alias("text"))
 
 
