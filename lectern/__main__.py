@@ -132,7 +132,7 @@ def run_pacing(spark, args):
     tables = {"classified_dates": rows, "pacing_by_document": documents, "pacing_by_section": pacing.by_section(rows, args.sections), "pacing_by_position": pacing.by_position(rows, args.bins)}
     for name, table in tables.items():
         sinks.write_parquet(table, f"{args.output}/{name}.parquet")
-    sinks.write_report(pacing.full_report(rows, documents, args.sections), f"{args.output}/pacing_report.json")
+    sinks.write_report(pacing.full_report(rows, args.sections), f"{args.output}/pacing_report.json")
 
 
 def run_verbs(spark, args):

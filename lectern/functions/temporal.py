@@ -113,10 +113,11 @@ def _rule(t: Column) -> Column:
 def classify(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with ``text_clean, category, duration_days``; null text counts as empty, which is noise.
 
-    Each step is generated from an array of one, which keeps the optimizer from writing it out again wherever it is used.
+    Each step is generated from an array of one, which keeps the optimizer from writing it out again wherever it is used; not the
+    days, so that tables of categories alone don't find them.
     """
     clean = df.select("*", F.explode(F.array(collapse(F.coalesce(text, F.lit(""))))).alias("text_clean"))
     ruled = clean.select("*", F.explode(F.array(_rule(F.col("text_clean")))).alias("__rule"))
     category, how = F.col("__rule.category"), F.col("__rule.how")
     days = F.when(how == "spelled", _days(F.col("text_clean"), category)).when(how == "default", _lookup(DEFAULT_DAYS, category))
-    return ruled.select("*", category.alias("category"), F.explode(F.array(days)).alias("duration_days")).drop("__rule")
+    return ruled.select("*", category.alias("category"), days.alias("duration_days")).drop("__rule")

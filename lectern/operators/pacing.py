@@ -101,15 +101,23 @@ def report(rows: DataFrame) -> DataFrame:
     return rows.agg(n.alias("total_date_entities"), F.count_if(F.col("category") != "noise").alias("meaningful_expressions"), documents, *counts, *fractions)
 
 
-def full_report(rows: DataFrame, documents: DataFrame, sections: int = 3) -> DataFrame:
-    """One row: ``report`` with noise, the median of expressions by document, and the five categories that dominate most documents."""
-    base = report(rows)
-    noise = F.coalesce(F.bround(F.try_divide(F.col("n_noise"), F.col("total_date_entities")), 3), F.lit(0.0))
-    group = lambda lead: F.struct(*[F.col(f"{lead}_{c}").alias(c) for c in CATEGORIES])
-    base = base.select("total_date_entities", "meaningful_expressions", F.col("n_noise").alias("noise_filtered"), noise.alias("noise_fraction"), "documents_with_expressions", F.lit(sections).alias("n_sections"), group("n").alias("category_counts"), group("frac").alias("category_fractions"))
-    median = documents.agg(F.bround(F.median("n_expressions"), 1).alias("median_expressions_per_doc"))
-    top = dominant_categories(documents).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("documents")).alias("k"), "dominant_category", "documents"))), lambda x: F.struct(x["dominant_category"], x["documents"]))).alias("corpus_dominant_categories"))
-    return base.crossJoin(F.broadcast(median)).crossJoin(F.broadcast(top))  # one row each
+def full_report(rows: DataFrame, sections: int = 3) -> DataFrame:
+    """One row: ``report`` with noise, the median of expressions by document, and the five categories that dominate most documents.
+
+    All come from one count by document and category, which is persisted: expressions are classified once.
+    """
+    counted = _tally(rows, "doc_id", more=[F.count_if(F.col("category") == "noise").alias("k_noise")]).persist(StorageLevel.MEMORY_AND_DISK)
+    total = F.coalesce(F.sum("n_expressions"), F.lit(0))
+    found = F.col("n_expressions") > F.col("k_noise")
+    share = lambda c: F.coalesce(F.bround(F.try_divide(F.sum(f"k_{c}"), F.sum("n_expressions")), 3), F.lit(0.0))
+    n = lambda c: F.coalesce(F.sum(f"k_{c}"), F.lit(0))
+    base = counted.agg(
+        total.alias("total_date_entities"), (total - n("noise")).alias("meaningful_expressions"), n("noise").alias("noise_filtered"), share("noise").alias("noise_fraction"), F.count_if(found).alias("documents_with_expressions"), F.lit(sections).alias("n_sections"),
+        F.struct(*[n(c).alias(c) for c in CATEGORIES]).alias("category_counts"), F.struct(*[share(c).alias(c) for c in CATEGORIES]).alias("category_fractions"),
+        F.bround(F.median(F.when(found, F.col("n_expressions") - F.col("k_noise"))), 1).alias("median_expressions_per_doc"),
+    )
+    top = dominant_categories(counted.where(found)).agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("documents")).alias("k"), "dominant_category", "documents"))), lambda x: F.struct(x["dominant_category"], x["documents"]))).alias("corpus_dominant_categories"))
+    return base.crossJoin(F.broadcast(top))  # one row each
 
 
 def dominant_categories(documents: DataFrame, n: int = 5) -> DataFrame:
@@ -120,15 +128,18 @@ def duration_histogram(rows: DataFrame) -> DataFrame:
     """Positive durations of meaningful expressions: ``[edge, next)``, the last closed, longer ones left out; every bin has a row."""
     edges = HISTOGRAM_EDGES
     bins = rows.sparkSession.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))], "bin int, low double, high double")
+    rows = meaningful(rows).select(F.explode(F.array("duration_days")).alias("duration_days"))  # found once, however often it is used
     d = F.col("duration_days")
     place = F.lit(-1)
     for e in edges[:-1]:
         place = place + (d >= e).cast("int")
-    counted = meaningful(rows).where((d > 0) & (d <= edges[-1])).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+    counted = rows.where((d > 0) & (d <= edges[-1])).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
     return bins.join(counted, "bin", "left").fillna(0, ["n"])
 
 
 def top_documents(rows: DataFrame, documents: DataFrame, n: int = 10) -> DataFrame:
-    """Meaningful rows of the documents with most expressions."""
+    """Meaningful rows of the documents with most expressions. ``rows`` may also be dates that aren't classified: then only those of
+    these documents are, again."""
     top = documents.orderBy(F.desc("n_expressions"), "doc_id").limit(n).select("doc_id")
-    return meaningful(rows).join(F.broadcast(top), "doc_id", "left_semi")
+    rows = rows.join(F.broadcast(top), "doc_id", "left_semi")
+    return meaningful(rows if "category" in rows.columns else classified(rows))
