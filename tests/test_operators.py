@@ -149,3 +149,47 @@ def test_csv_keeps_odd_values(spark, tmp_path):
     rows = [(i, x) for i, x in enumerate(odd)]
     sinks.write_csv(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), f"{tmp_path}/odd")
     assert sorted((r.doc_id, r.text) for r in readers.read_csv(spark, f"{tmp_path}/odd", "doc_id long, text string").collect()) == rows
+
+
+def test_topics_of_several_k_share_vectors_and_windows(spark):
+    bow = spark.createDataFrame([(i, (["apple", "pear"] if i % 2 else ["car", "bus"]) * 60) for i in range(20)] + [(99, [])], "doc_id long, tokens array<string>")
+    k, scores = topics.select_k(bow, [3, 2], topics.TopicSettings(no_above=0.9, passes=2))
+    assert [s[0] for s in scores] == [2, 3] and k in (2, 3)
+    tops = [[["apple", "pear"], ["car", "bus"]], [["apple", "car"]]]
+    both = topics.coherences(bow, tops, 7)
+    assert both == pytest.approx([topics.coherence(bow, t, 7) for t in tops]) and both[0] > 0.99 > both[1]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pacing_report_classifies_once(spark):
+    rows = spark.createDataFrame([(1, 0, 0, "day"), (1, 1, 0, "noise"), (2, 0, 0, "noise"), (3, 0, 0, "year")], "doc_id long, sentence_idx int, start int, category string")
+    full = pacing.full_report(rows)
+    assert "InMemoryRelation" in _plan(full)
+    r = full.first()
+    assert (r.total_date_entities, r.meaningful_expressions, r.noise_fraction, r.documents_with_expressions, r.median_expressions_per_doc, r.category_counts.year) == (4, 2, 0.5, 2, 1.0, 1)
+    assert r.corpus_dominant_categories == {"day": 1, "year": 1} and pacing.full_report(rows.limit(0)).first().total_date_entities == 0
+
+
+def test_top_documents_of_dates(spark):
+    dates = spark.createDataFrame([(1, 0, 0, "two weeks"), (1, 1, 0, "1850"), (2, 0, 0, "1850")], "doc_id long, sentence_idx int, start int, text string")
+    got = pacing.top_documents(dates, pacing.by_document(pacing.classified(dates)), 1)
+    assert [(r.doc_id, r.category) for r in got.collect()] == [(1, "week")]
+
+
+def test_entity_and_verb_reports_find_once(spark):
+    sents = spark.createDataFrame([("d", 0, "They were beaten near Lund.")], "doc_id string, sentence_idx int, sentence_text string")
+    full = entities.full_report(entities.extract(sents), sents)
+    assert "InMemoryRelation" in _plan(full) and full.first().top_entities == {"LOC": {"Lund": 1}}
+    full = verbs.full_report(annotators.rule_verbs(sents))
+    assert "InMemoryRelation" in _plan(full) and full.first().top_passive_affirmative_verbs == {"beat": 1}
+
+
+def test_files_are_listed_by_a_task(spark, tmp_path):
+    for name in ("a.txt", "b é.txt", "_c.txt", "d.pdf"):
+        (tmp_path / name).write_bytes("ż\r\n".encode())
+    got = readers.read_texts(spark, f"file://{tmp_path}")
+    assert got.inputFiles() == [] and sorted(map(tuple, got.collect())) == [("a", "a.txt", "ż\n"), ("b é", "b é.txt", "ż\n")]
+    assert readers.read_texts(spark, f"{tmp_path}/*.txt").count() == 2
